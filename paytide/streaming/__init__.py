@@ -1,0 +1,4 @@
+"""Late bookings are handled by the bitemporal tables, so no stream state is kept.
+
+All work is daily batch work; there are no streaming operators to express.
+"""
