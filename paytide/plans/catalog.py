@@ -1,5 +1,5 @@
 """All registered queries."""
-from . import q_layers  # noqa: F401
+from . import q_gold, q_layers  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
