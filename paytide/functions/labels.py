@@ -40,7 +40,8 @@ def ladder(rules, default=None) -> Column:
 def lag_bucket_index(days: Column | str) -> Column:
     """0..10 for the buckets, null when the delay is unknown."""
     d = _col(days)
-    return (F.least(F.greatest(d, F.lit(-5)), F.lit(5)) + 5).cast("int")
+    # least() and greatest() skip nulls, so the null case is named.
+    return F.when(d.isNotNull(), (F.least(F.greatest(d, F.lit(-5)), F.lit(5)) + 5).cast("int"))
 
 
 def lag_bucket(days: Column | str) -> Column:

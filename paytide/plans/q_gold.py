@@ -222,7 +222,7 @@ def _(t):
     return A.concentration_summary(t.realized_grain)
 
 
-_SPARSE = "SELECT DATE, coalesce(sum(TARGET_AMOUNT), 0) AS y FROM (SELECT unnest(generate_series((SELECT CAST(min(VALUE_DATE) AS TIMESTAMP) FROM realized_grain WHERE ENTITY_SHORTNAME = 'NATION_5' AND MOVEMENT_SCOPE = 'REFUND'), (SELECT CAST(max(VALUE_DATE) AS TIMESTAMP) FROM realized_grain WHERE ENTITY_SHORTNAME = 'NATION_5' AND MOVEMENT_SCOPE = 'REFUND'), INTERVAL 1 DAY))::DATE AS DATE) LEFT JOIN (SELECT * FROM realized_grain WHERE ENTITY_SHORTNAME = 'NATION_5' AND MOVEMENT_SCOPE = 'REFUND') ON VALUE_DATE = DATE GROUP BY DATE"
+_SPARSE = "SELECT DATE, coalesce(TARGET_AMOUNT, 0) AS y FROM calendar LEFT JOIN realized ON VALUE_DATE = DATE WHERE DATE BETWEEN (SELECT min(VALUE_DATE) FROM realized) AND (SELECT max(VALUE_DATE) FROM realized)"
 
 
 @query("forecastability", f"""SELECT count(*) AS DAYS, count(*) FILTER (y <> 0) AS ACTIVE_DAYS, count(*) FILTER (y <> 0) / count(*) AS ACTIVE_DAY_RATIO, count(*) FILTER (y = 0) AS ZERO_DAYS,
@@ -232,7 +232,7 @@ _SPARSE = "SELECT DATE, coalesce(sum(TARGET_AMOUNT), 0) AS y FROM (SELECT unnest
        CASE WHEN ACTIVE_DAY_RATIO = 0 THEN 'no_activity' WHEN ACTIVE_DAY_RATIO < 0.02 THEN 'very_sparse' WHEN ACTIVE_DAY_RATIO < 0.2 THEN 'intermittent' ELSE 'regular' END AS INTERMITTENCY_CLASS FROM ({_SPARSE})""",
        "ACTIVE_DAY_RATIO:8 TOTAL_AMOUNT,ABS_TOTAL_AMOUNT:2 AVG_ACTIVE_ABS_AMOUNT,STD_DAILY_AMOUNT,P99_ACTIVE_ABS_AMOUNT:3", "MAX_ZERO_RUN_DAYS")
 def _(t):
-    return A.forecastability(t.realized_grain.filter("ENTITY_SHORTNAME = 'NATION_5' AND MOVEMENT_SCOPE = 'REFUND'"))
+    return A.forecastability(t.realized)
 
 
 @query("operational_timing", """SELECT ENTITY_SHORTNAME, CASH_MOVEMENT_TYPE_SHORTNAME, 'TRADE_TO_VALUE_DAYS' AS TIMING_METRIC, count(*) AS ROWS, avg(d) AS MEAN_DAYS, quantile_cont(d, 0.05) AS P05_DAYS,
