@@ -232,15 +232,15 @@ def concentration_summary(realized: DataFrame, group=GROUP) -> DataFrame:
 
 def running_from_top(df: DataFrame, order: str, measure: str, tie_break, total_name: str, rank_name: str) -> DataFrame:
     """Running sum and rank in ascending ``order`` over a table of any length; only ties share a task."""
-    below = cumulative_by_value(df, order, {"N": F.count(F.lit(1)), "M": F.sum(measure)})
+    below = cumulative_by_value(df, order, {"_n": F.count(F.lit(1)), "_m": F.sum(measure)})
     ties = Window.partitionBy(order).orderBy(*tie_break)
-    placed = attach(df, below.select(order, "N_BEFORE", "M_BEFORE"), [order])
+    placed = attach(df, below.select(order, "_n_BEFORE", "_m_BEFORE"), [order])
     return placed.withColumns(
         {
-            total_name: F.col("M_BEFORE") + F.sum(measure).over(ties.rowsBetween(Window.unboundedPreceding, 0)),
-            rank_name: F.col("N_BEFORE") + F.row_number().over(ties),
+            total_name: F.col("_m_BEFORE") + F.sum(measure).over(ties.rowsBetween(Window.unboundedPreceding, 0)),
+            rank_name: F.col("_n_BEFORE") + F.row_number().over(ties),
         }
-    ).drop("N_BEFORE", "M_BEFORE")
+    ).drop("_n_BEFORE", "_m_BEFORE")
 
 
 def runs(df: DataFrame, flag: Column, keys=(), order: str = VALUE) -> DataFrame:

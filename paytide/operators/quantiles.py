@@ -61,14 +61,14 @@ def attach(df: DataFrame, small: DataFrame, keys=()) -> DataFrame:
 
 def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], keys=()) -> DataFrame:
     """Linearly interpolated quantiles per key: {column name: probability}."""
-    ranked = cumulative_by_value(df, value, {"N": F.count(F.lit(1))}, keys)
+    ranked = cumulative_by_value(df, value, {"_rows": F.count(F.lit(1))}, keys)
     rows = df.filter(F.col(value).isNotNull())
     ranked = attach(ranked, totals_by_key(rows, {"_total": F.count(F.lit(1))}, keys), keys)
     out = []
     for name, q in quantiles.items():
         position = F.lit(float(q)) * (F.col("_total") - 1)
         low, high = F.floor(position), F.ceil(position)
-        holds = lambda r: (F.col("N_BEFORE") <= r) & (r < F.col("N_THROUGH"))
+        holds = lambda r: (F.col("_rows_BEFORE") <= r) & (r < F.col("_rows_THROUGH"))
         at_low = F.max(F.when(holds(low), F.col(value)))
         at_high = F.max(F.when(holds(high), F.col(value)))
         fraction = F.max(position - low)
@@ -78,21 +78,21 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], keys
 
 def percent_ranks(df: DataFrame, value: str, name: str, keys=()) -> DataFrame:
     """Average-tie percent rank (largest = 1) as a new column."""
-    ranked = cumulative_by_value(df, value, {"N": F.count(F.lit(1))}, keys)
+    ranked = cumulative_by_value(df, value, {"_rows": F.count(F.lit(1))}, keys)
     rows = df.filter(F.col(value).isNotNull())
     ranked = attach(ranked, totals_by_key(rows, {"_total": F.count(F.lit(1))}, keys), keys)
-    rank = (F.col("N_BEFORE") + (F.col("N") + 1) / 2) / F.col("_total")
+    rank = (F.col("_rows_BEFORE") + (F.col("_rows") + 1) / 2) / F.col("_total")
     return attach(df, ranked.select(*keys, value, rank.alias(name)), [*keys, value])
 
 
 def weighted_quantiles(df: DataFrame, value: str, weight: Column, probabilities, keys=()) -> DataFrame:
     """Quantiles interpolated on the cumulative weight share: rows (keys, PROBABILITY, VALUE)."""
     keys = list(keys)
-    shares = cumulative_by_value(df.filter(weight >= 0), value, {"W": F.sum(weight)}, keys)
-    total = shares.groupBy(*keys).agg(F.max("W_THROUGH").alias("_w")).filter("_w > 0")
+    shares = cumulative_by_value(df.filter(weight >= 0), value, {"_w8": F.sum(weight)}, keys)
+    total = shares.groupBy(*keys).agg(F.max("_w8_THROUGH").alias("_w")).filter("_w > 0")
     points = total.withColumn("PROBABILITY", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
     shares = attach(shares, total, keys).filter("_w > 0")
-    shares = shares.withColumns({"_to": F.col("W_THROUGH") / F.col("_w")})
+    shares = shares.withColumns({"_to": F.col("_w8_THROUGH") / F.col("_w")})
     # The bracket of each probability: last point at or below it, first point above it.
     tagged = shares.withColumn("PROBABILITY", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
     below = F.col("_to") <= F.col("PROBABILITY")

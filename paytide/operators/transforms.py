@@ -9,9 +9,10 @@ from .gold import TARGET
 from .pointintime import Rescale
 
 TINY = 1e-6
-# Coarse grid of powers, then repeatedly ten finer steps around the best one.
-POWER_GRID = tuple(round(-5 + 0.5 * i, 2) for i in range(21))
-REFINEMENTS = 6
+# Coarse grid of powers, then repeatedly twenty finer steps on each side of the best one.
+POWER_GRID = tuple(round(-5 + 0.25 * i, 2) for i in range(41))
+FINER = 20
+REFINEMENTS = 3
 
 
 def log1p(x: Column) -> Column:
@@ -79,14 +80,15 @@ def fit_power(rows: DataFrame, kind: str, keys=(EVAL,), target: str = TARGET) ->
         stats = stats.withColumns({"SHIFT": F.lit(0.0), "_flat": F.lit(False)})
     stats = stats.withColumn("_p0", F.array(*[F.lit(p) for p in POWER_GRID]))
     data = values.join(stats.select(*keys, "SHIFT"), keys).select(*keys, (F.col("_y") + F.col("SHIFT")).alias("_x"))
+    data = data.persist()  # every round reads it again
     grid, width = stats.select(*keys, F.explode("_p0").alias("_p")), POWER_GRID[1] - POWER_GRID[0]
     for round_number in range(REFINEMENTS + 1):
         scored = data.join(grid, keys).groupBy(*keys, "_p").agg(_log_likelihood(kind, F.col("_p")).alias("_ll"))
         best = scored.groupBy(*keys).agg(F.max_by("_p", "_ll").alias("_b"))
         if round_number < REFINEMENTS:
-            steps = F.transform(F.sequence(F.lit(-10), F.lit(10)), lambda i: F.col("_b") + i * F.lit(width / 10))
+            steps = F.transform(F.sequence(F.lit(-FINER), F.lit(FINER)), lambda i: F.col("_b") + i * F.lit(width / FINER))
             grid = best.select(*keys, F.explode(steps).alias("_p"))
-            width /= 5
+            width /= FINER
     power = F.when(F.col("_flat"), F.lit(None)).otherwise(F.round("_b", 10))
     return stats.join(best, keys).select(*keys, power.alias("POWER"), "SHIFT")
 

@@ -126,3 +126,23 @@ cte("preds", """SELECT m.RUN_NAME, e.CUTOFF_DATE, e.FORECAST_DATE, e.TARGET_AMOU
    f.EVALUATION_CUTOFF, f.TRAIN_CUTOFF_START, f.TRAIN_CUTOFF_END
  FROM eval_rows e JOIN folds f ON f.EVALUATION_CUTOFF = e.CUTOFF_DATE
  CROSS JOIN (VALUES ('naive_last_day'), ('seasonal_naive_weekly'), ('moving_average'), ('known_amount_d1')) m(RUN_NAME)""")
+cte("all_panel", """SELECT e.CUTOFF_DATE, e.FORECAST_DATE, c.DATE, coalesce(sum(k.KNOWN_AMOUNT), 0) AS amt
+ FROM eval_days e LEFT JOIN calendar c ON c.DATE BETWEEN e.CUTOFF_DATE - 27 AND e.CUTOFF_DATE
+ LEFT JOIN known k ON k.VALUE_DATE = c.DATE AND k.TRADE_DATE <= e.CUTOFF_DATE GROUP BY 1, 2, 3""")
+cte("all_rows", """SELECT p.CUTOFF_DATE, p.FORECAST_DATE, isodow(p.FORECAST_DATE) - 1 AS DAY_OF_WEEK,
+  coalesce(max(p.amt) FILTER (p.DATE = p.FORECAST_DATE - 1), 0) AS TARGET_LAG_1, coalesce(max(p.amt) FILTER (p.DATE = p.FORECAST_DATE - 7), 0) AS TARGET_LAG_7,
+  coalesce(max(p.amt) FILTER (p.DATE = p.FORECAST_DATE - 14), 0) AS TARGET_LAG_14, coalesce(max(p.amt) FILTER (p.DATE = p.FORECAST_DATE - 28), 0) AS TARGET_LAG_28,
+  avg(p.amt) FILTER (p.DATE > p.CUTOFF_DATE - 7) AS TARGET_ROLLING_MEAN_7, avg(p.amt) AS TARGET_ROLLING_MEAN_28,
+  coalesce(max(d.amt), 0) AS KNOWN_AMOUNT_D1, coalesce(max(l.TARGET_AMOUNT), 0) AS TARGET_AMOUNT
+ FROM all_panel p LEFT JOIN final_labels l ON l.DATE = p.FORECAST_DATE
+ LEFT JOIN (SELECT VALUE_DATE, sum(KNOWN_AMOUNT) AS amt FROM known WHERE TRADE_DATE <= VALUE_DATE - 1 GROUP BY 1) d ON d.VALUE_DATE = p.FORECAST_DATE
+ GROUP BY 1, 2""")
+cte("simple_preds", """SELECT c.RUN_NAME, CUTOFF_DATE, FORECAST_DATE, TARGET_AMOUNT, CASE c.RUN_NAME WHEN 'simple/zero' THEN 0 WHEN 'simple/known_amount_d1' THEN KNOWN_AMOUNT_D1
+  WHEN 'simple/target_lag_1' THEN TARGET_LAG_1 WHEN 'simple/target_lag_7' THEN TARGET_LAG_7 WHEN 'simple/target_lag_14' THEN TARGET_LAG_14 WHEN 'simple/target_lag_28' THEN TARGET_LAG_28
+  WHEN 'simple/rolling_mean_7' THEN TARGET_ROLLING_MEAN_7 ELSE TARGET_ROLLING_MEAN_28 END AS PREDICTION
+ FROM all_rows CROSS JOIN (VALUES ('simple/zero'), ('simple/known_amount_d1'), ('simple/target_lag_1'), ('simple/target_lag_7'), ('simple/target_lag_14'), ('simple/target_lag_28'), ('simple/rolling_mean_7'), ('simple/rolling_mean_28')) c(RUN_NAME)""")
+cte("scored", """SELECT *, y * score AS gain, y * (100 - score) AS pen FROM (SELECT *, CASE WHEN y > 0 THEN 100 * least(y, p) / greatest(y, p) WHEN p > 0 THEN 0.0 ELSE 100.0 END AS score
+ FROM (SELECT *, greatest(TARGET_AMOUNT, 0) AS y, greatest(PREDICTION, 0) AS p FROM simple_preds))""")
+cte("worst", """SELECT *, row_number() OVER w AS r, sum(y) OVER w AS cy, sum(gain) OVER w AS cg, sum(pen) OVER w AS cp, count(*) OVER (PARTITION BY RUN_NAME) AS n,
+ sum(y) OVER (PARTITION BY RUN_NAME) AS ty, sum(gain) OVER (PARTITION BY RUN_NAME) AS tg, sum(pen) OVER (PARTITION BY RUN_NAME) AS tp
+ FROM scored WINDOW w AS (PARTITION BY RUN_NAME ORDER BY round(pen, 4) DESC, FORECAST_DATE)""")

@@ -167,7 +167,7 @@ def _(t):
 _YJ = "CASE WHEN x >= 0 THEN (pow(x + 1, 0.4) - 1) / 0.4 ELSE -(pow(1 - x, 1.6) - 1) / 1.6 END"
 
 
-@query("transform_yeo_johnson", f"SELECT VALUE_DATE, {_YJ} AS z, CASE WHEN x >= 0 THEN ln(x + 1) ELSE -(pow(1 - x, 2) - 1) / 2 END AS z0 FROM (SELECT VALUE_DATE, TARGET_AMOUNT / 1000 AS x FROM realized)", "z,z0:6")
+@query("transform_yeo_johnson", f"SELECT VALUE_DATE, {_YJ} AS z, CASE WHEN x >= 0 THEN ln(x + 1) ELSE -(pow(1 - x, 2) - 1) / 2 END AS z0 FROM (SELECT VALUE_DATE, TARGET_AMOUNT / 1000 AS x FROM realized)", "z,z0:4")
 def _(t):
     x = F.col("TARGET_AMOUNT") / 1000
     return t.realized.select("VALUE_DATE", X.yeo_johnson(x, F.lit(0.4)).alias("z"), X.yeo_johnson(x, F.lit(0.0)).alias("z0"))

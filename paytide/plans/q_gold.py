@@ -228,7 +228,7 @@ _SPARSE = "SELECT DATE, coalesce(TARGET_AMOUNT, 0) AS y FROM calendar LEFT JOIN
 @query("forecastability", f"""SELECT count(*) AS DAYS, count(*) FILTER (y <> 0) AS ACTIVE_DAYS, count(*) FILTER (y <> 0) / count(*) AS ACTIVE_DAY_RATIO, count(*) FILTER (y = 0) AS ZERO_DAYS,
        min(DATE) FILTER (y <> 0) AS FIRST_ACTIVE_DATE, max(DATE) FILTER (y <> 0) AS LAST_ACTIVE_DATE, sum(y) AS TOTAL_AMOUNT, sum(abs(y)) AS ABS_TOTAL_AMOUNT, avg(abs(y)) FILTER (y <> 0) AS AVG_ACTIVE_ABS_AMOUNT,
        stddev_pop(y) AS STD_DAILY_AMOUNT, quantile_cont(abs(y), 0.99) FILTER (y <> 0) AS P99_ACTIVE_ABS_AMOUNT,
-       (SELECT max(n) FROM (SELECT count(*) AS n FROM (SELECT DATE, DATE - CAST(row_number() OVER (ORDER BY DATE) AS INT) AS g FROM ({_SPARSE}) WHERE y = 0) GROUP BY g)) AS MAX_ZERO_RUN_DAYS,
+       (SELECT coalesce(max(n), 0) FROM (SELECT count(*) AS n FROM (SELECT DATE, DATE - CAST(row_number() OVER (ORDER BY DATE) AS INT) AS g FROM ({_SPARSE}) WHERE y = 0) GROUP BY g)) AS MAX_ZERO_RUN_DAYS,
        CASE WHEN ACTIVE_DAY_RATIO = 0 THEN 'no_activity' WHEN ACTIVE_DAY_RATIO < 0.02 THEN 'very_sparse' WHEN ACTIVE_DAY_RATIO < 0.2 THEN 'intermittent' ELSE 'regular' END AS INTERMITTENCY_CLASS FROM ({_SPARSE})""",
        "ACTIVE_DAY_RATIO:8 TOTAL_AMOUNT,ABS_TOTAL_AMOUNT:2 AVG_ACTIVE_ABS_AMOUNT,STD_DAILY_AMOUNT,P99_ACTIVE_ABS_AMOUNT:3", "MAX_ZERO_RUN_DAYS")
 def _(t):

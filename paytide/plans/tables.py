@@ -10,7 +10,8 @@ from ..operators import gold as G
 from ..operators import silver as S
 from ..operators.backtest import FoldData, backtest_errors
 from ..operators.baselines import BASELINES
-from ..operators.pointintime import FeatureSpec, dataset_build
+from ..operators.evaluate import simple_candidates
+from ..operators.pointintime import FeatureSpec, dataset_build, gold_calendar_bounds
 from ..operators.rules import ColumnRule, Ruleset
 from ..schema import TableShape, movement_shape
 from .oracle import CTES
@@ -127,6 +128,18 @@ class Tables:
     def eval_rows(self) -> DataFrame:
         return dataset_build(self.realized, self.known, EVAL_FROM, EVAL_TO, SPEC)
 
+    @cached_property
+    def all_rows(self) -> DataFrame:
+        """Features and final labels of every day of the calendar."""
+        spec = FeatureSpec(windows={7: ("mean",), 28: ("mean",)}, history=28, cross=False)
+        bounds = gold_calendar_bounds(self.realized, self.known)
+        return dataset_build(self.realized, self.known, *bounds, spec).persist()
+
+    @cached_property
+    def simple(self) -> DataFrame:
+        """The simple candidate runs over every day, scored."""
+        return simple_candidates(self.all_rows)
+
     @cached_property
     def predictions(self) -> DataFrame:
         """The four baseline runs in one table."""
