@@ -10,9 +10,11 @@ from ..operators import gold as G
 from ..operators import silver as S
 from ..operators.backtest import FoldData, backtest_errors
 from ..operators.baselines import BASELINES
+from ..operators.companies import clean_movement_extract, company_profile_events, prepare_transactions, regime_profile
 from ..operators.evaluate import simple_candidates
 from ..operators.pointintime import FeatureSpec, dataset_build, gold_calendar_bounds
 from ..operators.rules import ColumnRule, Ruleset
+from ..operators.series import add_band_columns
 from ..schema import TableShape, movement_shape
 from .oracle import CTES
 
@@ -128,6 +130,37 @@ class Tables:
     def eval_rows(self) -> DataFrame:
         return dataset_build(self.realized, self.known, EVAL_FROM, EVAL_TO, SPEC)
 
+    @cached_property
+    def tx(self) -> DataFrame:
+        """Cleaned movement extract of all movement types; one account has no company text."""
+        kept = self.movements.select("ID", "TRADE_DATE", "VALUE_DATE", "AMOUNT", "ENTITY_SHORTNAME", "CURRENCY_SHORTNAME",
+                                     "CASH_MOVEMENT_TYPE_SHORTNAME", "ACCOUNT_SHORTNAME", "DESCRIPTION", "SIGNED_AMOUNT")
+        text = F.when(F.col("ACCOUNT_SHORTNAME") == "Brand#7", "123/45").otherwise(F.col("DESCRIPTION"))
+        return clean_movement_extract(kept.withColumn("DESCRIPTION", text)).persist()
+
+    @cached_property
+    def tx_span(self):
+        """First and last landing day of the extract as scalar subqueries."""
+        both = self.tx.agg(F.struct(F.min("VALUE_DATE").alias("lo"), F.max("VALUE_DATE").alias("hi")).alias("b")).scalar()
+        return both["lo"], both["hi"]
+
+    @cached_property
+    def banded(self) -> DataFrame:
+        return add_band_columns(self.tx)
+
+    @cached_property
+    def prepared(self) -> DataFrame:
+        """Regimes split at 50,000, since fixture amounts stay below 100,000."""
+        return prepare_transactions(self.tx, threshold=50_000.0)
+
+    @cached_property
+    def regime_profile(self) -> DataFrame:
+        return regime_profile(self.prepared)
+
+    @cached_property
+    def company_events(self) -> DataFrame:
+        return company_profile_events(self.tx)
+
     @cached_property
     def all_rows(self) -> DataFrame:
         """Features and final labels of every day of the calendar."""
