@@ -194,7 +194,7 @@ AUTO_LAGS = (1, 7, 14, 28)
 RECENT_DAYS = (30, 90, 180)
 
 
-def daily_activity(tx: DataFrame, keys, low: Column, high: Column) -> DataFrame:
+def daily_activity(tx: DataFrame, keys) -> DataFrame:
     """Active days per key with gaps, runs and the values some days earlier.
 
     Zero days are never built: everything the dense calendar would show follows from the active
@@ -210,9 +210,9 @@ def daily_activity(tx: DataFrame, keys, low: Column, high: Column) -> DataFrame:
     return active.withColumn("_start", start).withColumn("RUN", F.col("_d") - F.max("_start").over(so_far) + 1).drop("_start")
 
 
-def _autocorrelation(k: int, low: Column, high: Column, days: Column) -> Column:
+def _autocorrelation(k: int, days: Column) -> Column:
     x, d = F.col("x"), F.col("_d")
-    left, right = d <= F.unix_date(high) - k, d >= F.unix_date(low) + k
+    left, right = d <= F.unix_date("_hi") - k, d >= F.unix_date("_lo") + k
     m = days - k
     part = lambda cond, v: F.sum(F.when(cond, v).otherwise(0.0))
     sl, sr = part(left, x), part(right, x)
@@ -228,8 +228,12 @@ def company_profile(tx: DataFrame, low: Column, high: Column, keys=("company_key
     the signed form counts only days above it.
     """
     keys = list(keys)
+    # The ends of the calendar are added once as columns; as scalar subqueries they would be
+    # planned again for each of the many expressions below.
+    ends = (low, high)
+    active = daily_activity(tx, keys).withColumns({"_lo": low, "_hi": high})
+    low, high = F.col("_lo"), F.col("_hi")
     days = F.datediff(high, low) + 1
-    active = daily_activity(tx, keys, low, high)
     x, size = F.col("x"), F.abs("x")
     v, stem = (size, "active_abs_daily") if absolute else (x, "active_daily")
     weekday, monthday = F.weekday(VALUE), F.day(VALUE)
@@ -263,12 +267,12 @@ def company_profile(tx: DataFrame, low: Column, high: Column, keys=("company_key
         "_total_of": F.sum(total_of),
     }
     aggregates |= {f"_recent_{n}": recent(n) for n in RECENT_DAYS}
-    aggregates |= {f"autocorr_lag_{k}": _autocorrelation(k, low, high, days) for k in AUTO_LAGS}
+    aggregates |= {f"autocorr_lag_{k}": _autocorrelation(k, days) for k in AUTO_LAGS}
     gaps = dict(zip(("median_gap_days", "mean_gap_days", "cv_gap_days", "min_gap_days", "max_gap_days"), T.gap_columns()))
-    stats = active.groupBy(*keys).agg(*[c.alias(n) for n, c in (aggregates | gaps).items()])
+    stats = active.groupBy(*keys, "_lo", "_hi").agg(*[c.alias(n) for n, c in (aggregates | gaps).items()]).drop("_lo", "_hi")
     base = tx.groupBy(*keys).agg(F.max("company_found").alias("company_found"), F.countDistinct("ID").alias("row_count"))
     leads = lead_profile(tx, keys)
-    out = attach(attach(base, stats, keys), leads, keys)
+    out = attach(attach(base, stats, keys), leads, keys).withColumns({"_lo": ends[0], "_hi": ends[1]})
     zero_if_none = lambda c: F.coalesce(c if isinstance(c, Column) else F.col(c), F.lit(0.0))
     adays = F.coalesce("active_days", F.lit(0))
     share = lambda c: F.when(F.col("total_abs_amount") > 0, c / F.col("total_abs_amount")).otherwise(0.0)
@@ -460,9 +464,12 @@ SCORE_WEIGHTS = {"rank_amount_pct": 0.45, "rank_rows_pct": 0.25, "rank_active_da
 def selection_score(profile: DataFrame, behavior: str, keys=()) -> DataFrame:
     """Weighted average-tie percent ranks, recency and regularity as ``score``."""
     keys = list(keys)
-    ranked = profile.withColumn("_amount", F.round("total_abs_amount", 6))
-    for column, name in (("_amount", "rank_amount_pct"), ("n_rows", "rank_rows_pct"), ("n_active_days", "rank_active_days_pct")):
-        ranked = percent_ranks(ranked, column, name, keys)
+    # One row per company from here on; the checkpoint cuts the long plan behind the profile,
+    # which the ranks below read several times.
+    ensure_checkpoint_dir(profile.sparkSession)
+    profile = profile.withColumn("_amount", F.round("total_abs_amount", 6)).checkpoint()
+    names = {"_amount": "rank_amount_pct", "n_rows": "rank_rows_pct", "n_active_days": "rank_active_days_pct"}
+    ranked = percent_ranks(profile, names, keys)
     longest = F.greatest(profile.agg(F.max("days_since_last").cast("double")).scalar(), F.lit(1.0))
     ranked = ranked.drop("_amount").withColumns(
         {
@@ -473,7 +480,7 @@ def selection_score(profile: DataFrame, behavior: str, keys=()) -> DataFrame:
     score = F.lit(0.0)
     for name, weight in SCORE_WEIGHTS.items():
         score = score + weight * F.coalesce(F.col(name), F.lit(0.0))
-    return ranked.withColumn("score", F.round(score, 12))
+    return ranked.withColumn("score", F.round(score, 12)).checkpoint()
 
 
 def company_profile_events(tx: DataFrame) -> DataFrame:

@@ -166,9 +166,9 @@ def point_in_time_features(
 ) -> DataFrame:
     """Grid rows with lags, rolling statistics, D+1 known amounts and calendar attributes."""
     sums = rows.groupBy(*keys, CUTOFF).agg(*_feature_aggregates(spec, scale))
-    wide = grid.join(sums, [*keys, CUTOFF], "left")
+    wide = grid.join(sums, [*keys, CUTOFF], "left").withColumn("_first_day", calendar[0])
     zero = scale.zero
-    first_day = calendar[0]
+    first_day = F.col("_first_day")
     columns: dict[str, Column] = {}
     for k in spec.lags:
         in_calendar = F.date_sub(FORECAST, k) >= first_day

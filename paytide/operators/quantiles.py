@@ -76,13 +76,20 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], keys
     return ranked.groupBy(*keys).agg(*out)
 
 
-def percent_ranks(df: DataFrame, value: str, name: str, keys=()) -> DataFrame:
-    """Average-tie percent rank (largest = 1) as a new column."""
-    ranked = cumulative_by_value(df, value, {"_rows": F.count(F.lit(1))}, keys)
-    rows = df.filter(F.col(value).isNotNull())
-    ranked = attach(ranked, totals_by_key(rows, {"_total": F.count(F.lit(1))}, keys), keys)
-    rank = (F.col("_rows_BEFORE") + (F.col("_rows") + 1) / 2) / F.col("_total")
-    return attach(df, ranked.select(*keys, value, rank.alias(name)), [*keys, value])
+def percent_ranks(df: DataFrame, names: dict[str, str], keys=()) -> DataFrame:
+    """Average-tie percent ranks (largest = 1) as new columns: {column: rank column}.
+
+    Every rank is taken from the table itself and not from the previous result, which keeps the
+    plan linear in the number of ranks.
+    """
+    out = df
+    for value, name in names.items():
+        ranked = cumulative_by_value(df, value, {"_rows": F.count(F.lit(1))}, keys)
+        rows = df.filter(F.col(value).isNotNull())
+        ranked = attach(ranked, totals_by_key(rows, {"_total": F.count(F.lit(1))}, keys), keys)
+        rank = (F.col("_rows_BEFORE") + (F.col("_rows") + 1) / 2) / F.col("_total")
+        out = attach(out, ranked.select(*keys, value, rank.alias(name)), [*keys, value])
+    return out
 
 
 def weighted_quantiles(df: DataFrame, value: str, weight: Column, probabilities, keys=()) -> DataFrame:

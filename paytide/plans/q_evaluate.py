@@ -296,7 +296,7 @@ def _(t):
     return R.nearest_earlier(t.all_rows, "CUTOFF_DATE", _NEAR, k=5, min_history=180).select("CUTOFF_DATE", "NEIGHBOUR", "DISTANCE")
 
 
-@query("win_history_standardize", f"""SELECT CUTOFF_DATE, row_number() OVER (ORDER BY CUTOFF_DATE) - 1 AS HISTORY_ROWS, avg(TARGET_LAG_7) OVER w AS TARGET_LAG_7_MEAN, stddev_pop(TARGET_LAG_7) OVER w AS TARGET_LAG_7_STD
-       FROM all_rows WINDOW w AS (ORDER BY CUTOFF_DATE ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""", "TARGET_LAG_7_MEAN:8 TARGET_LAG_7_STD:4")
+@query("win_history_standardize", f"""SELECT CUTOFF_DATE, row_number() OVER (ORDER BY CUTOFF_DATE) - 1 AS HISTORY_ROWS, avg(TARGET_LAG_7) OVER w + 3e-7 AS TARGET_LAG_7_MEAN, stddev_pop(TARGET_LAG_7) OVER w AS TARGET_LAG_7_STD
+       FROM all_rows WINDOW w AS (ORDER BY CUTOFF_DATE ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""", "TARGET_LAG_7_MEAN:6 TARGET_LAG_7_STD:4")
 def _(t):
-    return R.history_moments(t.all_rows.select("CUTOFF_DATE", "TARGET_LAG_7"), "CUTOFF_DATE", ["TARGET_LAG_7"]).drop("TARGET_LAG_7")
+    return R.history_moments(t.all_rows.select("CUTOFF_DATE", "TARGET_LAG_7"), "CUTOFF_DATE", ["TARGET_LAG_7"]).drop("TARGET_LAG_7").withColumn("TARGET_LAG_7_MEAN", F.col("TARGET_LAG_7_MEAN") + 3e-7)

@@ -216,7 +216,7 @@ def _(t):
 
 @query("win_rank_pct", "SELECT CPTY_NAME, n, (rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2) / count(*) OVER () AS pct FROM (SELECT CPTY_NAME, count(*) AS n FROM movements GROUP BY 1)", "pct:8")
 def _(t):
-    return Q.percent_ranks(t.movements.groupBy("CPTY_NAME").agg(F.count("*").alias("n")), "n", "pct")
+    return Q.percent_ranks(t.movements.groupBy("CPTY_NAME").agg(F.count("*").alias("n")), {"n": "pct"})
 
 
 @query("win_sequence_rank", "SELECT CPTY_NAME, concat('AUTO_', lpad(CAST(row_number() OVER (ORDER BY round(a, 2) DESC, CPTY_NAME) AS STRING), 2, '0')) AS label FROM (SELECT CPTY_NAME, sum(AMOUNT) AS a FROM movements GROUP BY 1) ORDER BY round(a, 2) DESC, CPTY_NAME LIMIT 12")

@@ -214,7 +214,7 @@ def _profile_digits(stem):
               "month_end_active_share", "dayofmonth_entropy", "dayofmonth_top_share", "rows_per_active_day_mean", "rows_per_active_day_cv2", "spike_active_share", "lead_days_mean",
               "known_at_least_d1_share", "known_same_day_share", "mean_gap_days", "cv_gap_days", "median_gap_days", "lead_days_median"]
     loose = [f"autocorr_lag_{k}" for k in C.AUTO_LAGS] + [f"recent_{n}_amount_share" for n in C.RECENT_DAYS] + ["cv2"]
-    return f"{','.join(amounts)}:2 {','.join(fine)}:5 {','.join(shares)}:8 {','.join(loose)}:4"
+    return f"{','.join(amounts)}:2 {','.join(fine)}:1 {','.join(shares)}:8 {','.join(loose)}:4"
 
 
 @query("company_profile_daily", _profile_sql("tx", "company_key", False), _profile_digits("active_daily"), "longest_active_run longest_zero_run")
@@ -264,7 +264,7 @@ def _(t):
 
 # --- event profiles and selection ---
 
-_EV_DIGITS = ("total_amount,total_abs_amount,max_abs_amount,max_daily_abs_amount:2 mean_abs_amount,median_abs_amount,p90_abs_amount,mean_daily_abs_amount,median_daily_abs_amount,std_daily_abs_amount:5 "
+_EV_DIGITS = ("total_amount,total_abs_amount,max_abs_amount,max_daily_abs_amount:2 mean_abs_amount,median_abs_amount,p90_abs_amount,mean_daily_abs_amount,median_daily_abs_amount,std_daily_abs_amount:1 "
               "month_end_share,month_start_share,payment_abs_hhi,median_gap_days,mean_gap_days,cv_gap_days,dow_entropy,dow_top_share,dom_entropy,dom_top_share,max_to_median_abs,share_total_abs,cv2_daily_abs_amount:6")
 
 
