@@ -28,10 +28,11 @@ PREDICTION, ABS_ERROR = "PREDICTION", "ABS_ERROR"
 PREDICTION_COLUMNS = (CUTOFF, FORECAST, TARGET, PREDICTION, ABS_ERROR, EVAL, TRAIN_FROM, TRAIN_TO)
 
 
-def fold_grid(spark, start, end, train_window: int) -> DataFrame:
-    """One fold per evaluation day; training cutoffs end the day before it."""
+def fold_grid(spark, start, end, train_window: int, step_days: int = 1) -> DataFrame:
+    """One fold per evaluation day (or every few days); training cutoffs end the day before it."""
     lo, hi = day_range(start, end)
-    folds = spark.range(1).select(F.explode(F.sequence(lo, hi)).alias(EVAL))
+    every = F.make_dt_interval(days=F.lit(step_days))
+    folds = spark.range(1).select(F.explode(F.sequence(lo, hi, every)).alias(EVAL))
     return folds.withColumns(
         {
             TRAIN_FROM: F.date_sub(EVAL, HORIZON + train_window - 1),
@@ -47,12 +48,12 @@ class FoldData:
     computed once and joined to the folds; only the label depends on the evaluation date.
     """
 
-    def __init__(self, realized, known, start, end, train_window, spec=FeatureSpec(), seq=()):
+    def __init__(self, realized, known, start, end, train_window, spec=FeatureSpec(), seq=(), step_days=1):
         self.seq = tuple(seq)
         self.spec = spec
         self.spark = known.sparkSession
         self.calendar = gold_calendar_bounds(realized, known)
-        self.folds = fold_grid(self.spark, start, end, train_window)
+        self.folds = fold_grid(self.spark, start, end, train_window, step_days)
         self.steps = as_of_steps(known, seq)
         lo, hi = day_range(start, end)
         first = F.date_sub(lo, HORIZON + train_window - 1)
