@@ -32,9 +32,14 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Every character that counts as blank at the ends of a text.
+BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                           0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Column | str) -> Column:
     """Trim every Unicode blank; trim() alone would leave no-break spaces."""
-    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
+    return F.trim(_col(c), F.lit(BLANKS))
 
 
 def clean_text(c: Column | str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import AMOUNT_BINS, ladder
 from ..functions.text import NO_COMPANY, sanitize_label, simple_company_name
+from ..session import ensure_checkpoint_dir
 from .companies import (
     REGIME_KEYS,
     prepare_transactions,
@@ -357,9 +358,11 @@ def assign_by_rules(tx: DataFrame, rules: DataFrame) -> DataFrame:
     """First matching rule per row by priority; ``*`` matches anything.
 
     The rules of a company are gathered into one short list, so rows meet them by an equi-join on
-    the company plus the list of general rules as one value; a row never multiplies.
+    the company plus the list of general rules as one value; a row never multiplies. Rules are a
+    small table that an analyst edits, so it is written down before the rows are read.
     """
-    enabled = rules.filter("enabled")
+    ensure_checkpoint_dir(rules.sparkSession)
+    enabled = rules.filter("enabled").checkpoint()
     fields = ["priority", "series_name", "rule_type", "company_found", "amount_bin", "remaining_behavior", "min_abs_amount", "max_abs_amount"]
     listed = F.array_sort(F.collect_list(F.struct(*fields)))
     own = enabled.filter("company_name <> '*'").groupBy("company_name").agg(listed.alias("_own"))

@@ -80,7 +80,7 @@ def _(t):
 
 @query("cascade_labels", """SELECT EVALUATION_CUTOFF, q AS SPIKE_THRESHOLD, count(*) FILTER (y > 0) AS OCCURRENCES, count(*) FILTER (y > q) AS SPIKES, count(*) FILTER (y > 0 AND y <= q) AS NORMALS, coalesce(avg(y) FILTER (y > 0 AND y <= q), 0) AS NORMAL_FALLBACK,
        CASE WHEN coalesce(avg(y) FILTER (y > q), 0) = 0 THEN coalesce(avg(y) FILTER (y > 0 AND y <= q), 0) ELSE avg(y) FILTER (y > q) END AS SPIKE_FALLBACK
-       FROM (SELECT EVALUATION_CUTOFF, round(TARGET_AMOUNT, 2) AS y, quantile_cont(CASE WHEN round(TARGET_AMOUNT, 2) > 0 THEN round(TARGET_AMOUNT, 2) END, 0.9) OVER (PARTITION BY EVALUATION_CUTOFF) AS q FROM train_rows) GROUP BY 1, 2""", "SPIKE_THRESHOLD,NORMAL_FALLBACK,SPIKE_FALLBACK:4")
+       FROM (SELECT EVALUATION_CUTOFF, round(TARGET_AMOUNT, 2) AS y, quantile_cont(CASE WHEN round(TARGET_AMOUNT, 2) > 0 THEN round(TARGET_AMOUNT, 2) END, 0.9) OVER (PARTITION BY EVALUATION_CUTOFF) AS q FROM train_rows) GROUP BY 1, 2""", "SPIKE_THRESHOLD,NORMAL_FALLBACK,SPIKE_FALLBACK:8")
 def _(t):
     return L.cascade_labels(t.folds.training(()).withColumn("TARGET_AMOUNT", F.round("TARGET_AMOUNT", 2)))
 
@@ -135,7 +135,7 @@ def _median_model(train, rows):
     return [train["TARGET_AMOUNT"].median() if len(train) else 0.0] * len(rows)
 
 
-@query("custom_model_hook", "SELECT CUTOFF_DATE, m AS PREDICTION FROM eval_rows JOIN (SELECT EVALUATION_CUTOFF, median(TARGET_AMOUNT) AS m FROM train_rows GROUP BY 1) ON EVALUATION_CUTOFF = CUTOFF_DATE", "PREDICTION:2")
+@query("custom_model_hook", "SELECT CUTOFF_DATE, m AS PREDICTION FROM eval_rows JOIN (SELECT EVALUATION_CUTOFF, median(TARGET_AMOUNT) AS m FROM train_rows GROUP BY 1) ON EVALUATION_CUTOFF = CUTOFF_DATE", "PREDICTION:4")
 def _(t):
     return L.custom_model(t.folds.training(()), t.folds.inference(), _median_model).select("CUTOFF_DATE", "PREDICTION")
 

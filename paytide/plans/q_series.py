@@ -214,7 +214,7 @@ def _profile_digits(stem):
               "month_end_active_share", "dayofmonth_entropy", "dayofmonth_top_share", "rows_per_active_day_mean", "rows_per_active_day_cv2", "spike_active_share", "lead_days_mean",
               "known_at_least_d1_share", "known_same_day_share", "mean_gap_days", "cv_gap_days", "median_gap_days", "lead_days_median"]
     loose = [f"autocorr_lag_{k}" for k in C.AUTO_LAGS] + [f"recent_{n}_amount_share" for n in C.RECENT_DAYS] + ["cv2"]
-    return f"{','.join(amounts)}:2 {','.join(fine)}:1 {','.join(shares)}:8 {','.join(loose)}:4"
+    return f"{','.join(amounts)}:2 {','.join(fine)}:4 {','.join(shares)}:8 {','.join(loose)}:4"
 
 
 @query("company_profile_daily", _profile_sql("tx", "company_key", False), _profile_digits("active_daily"), "longest_active_run longest_zero_run")
@@ -264,7 +264,7 @@ def _(t):
 
 # --- event profiles and selection ---
 
-_EV_DIGITS = ("total_amount,total_abs_amount,max_abs_amount,max_daily_abs_amount:2 mean_abs_amount,median_abs_amount,p90_abs_amount,mean_daily_abs_amount,median_daily_abs_amount,std_daily_abs_amount:1 "
+_EV_DIGITS = ("total_amount,total_abs_amount,max_abs_amount,max_daily_abs_amount:2 mean_abs_amount,median_abs_amount,p90_abs_amount,mean_daily_abs_amount,median_daily_abs_amount,std_daily_abs_amount:4 "
               "month_end_share,month_start_share,payment_abs_hhi,median_gap_days,mean_gap_days,cv_gap_days,dow_entropy,dow_top_share,dom_entropy,dom_top_share,max_to_median_abs,share_total_abs,cv2_daily_abs_amount:6")
 
 
@@ -285,7 +285,7 @@ def _(t):
 
 
 def _own(t):
-    return C.select_own_series(t.regime_profile)
+    return t.own_series
 
 
 @query("own_series_selection", "SELECT amount_regime, company_clean, own_score, eligible AS own_eligible, is_own_series, CASE WHEN company_clean = 'NO_COMPANY' THEN 'no_company_bucket' WHEN n_rows <= 2 THEN 'one_or_two_spikes_grouped_not_own' WHEN is_own_series THEN 'selected_by_hybrid_occurrence_value_score' WHEN eligible THEN 'eligible_but_outside_series_budget' ELSE '' END AS own_reason FROM own_selection", "own_score:8")
@@ -307,12 +307,7 @@ def _(t):
 
 
 def _selected(t):
-    from pyspark.sql import Window
-
-    chosen = C.select_companies(t.company_events).filter("is_selected_company")
-    # At most the selection budget of rows.
-    order = Window.orderBy(F.desc("company_score"), F.desc("total_abs_amount"), F.desc("n_rows"), "company_name")
-    return chosen.select("company_name", F.row_number().over(order).alias("position"))
+    return t.selected
 
 
 def _company_rules(t):

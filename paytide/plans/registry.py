@@ -21,11 +21,19 @@ def _digits(text: str) -> dict[str, int]:
     return out
 
 
+def _shift(n: int) -> float:
+    return float(f"3.7e{-(n + 3)}")
+
+
 def _tidy(df: DataFrame, digits: dict[str, int], ints) -> DataFrame:
-    """Amounts are floating point and summed in any order: round for comparison, -0.0 as 0.0."""
+    """Amounts are floating point and summed in any order: round for comparison, -0.0 as 0.0.
+
+    Means and quantiles of two-decimal amounts often lie exactly between two roundings, where the
+    last bit would decide; both sides therefore round after the same small shift.
+    """
     columns = {}
     for c, n in digits.items():
-        rounded = F.round(F.col(c).cast("double"), n)
+        rounded = F.round(F.col(c).cast("double") + _shift(n), n)
         columns[c] = F.when(rounded == 0, F.lit(0.0)).otherwise(rounded)
     columns.update({c: F.col(c).cast("bigint") for c in ints})
     return df.withColumns(columns) if columns else df
@@ -34,7 +42,7 @@ def _tidy(df: DataFrame, digits: dict[str, int], ints) -> DataFrame:
 def _tidy_sql(body: str, digits: dict[str, int], ints) -> str:
     parts = []
     for c, n in digits.items():
-        r = f"round(CAST({c} AS DOUBLE), {n})"
+        r = f"round(CAST({c} AS DOUBLE) + CAST('{_shift(n)!r}' AS DOUBLE), {n})"
         parts.append(f"CASE WHEN {r} = 0 THEN 0.0 ELSE {r} END AS {c}")
     parts += [f"CAST({c} AS BIGINT) AS {c}" for c in ints]
     body = re.sub(r"\s+", " ", body).strip()

@@ -3,14 +3,14 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import gold as G
 from ..operators import silver as S
 from ..operators.backtest import FoldData, backtest_errors
 from ..operators.baselines import BASELINES
-from ..operators.companies import clean_movement_extract, company_profile_events, prepare_transactions, regime_profile
+from ..operators.companies import clean_movement_extract, company_profile_events, prepare_transactions, regime_profile, select_companies, select_own_series
 from ..operators.evaluate import simple_candidates
 from ..operators.pointintime import FeatureSpec, dataset_build, gold_calendar_bounds
 from ..operators.rules import ColumnRule, Ruleset
@@ -155,11 +155,22 @@ class Tables:
 
     @cached_property
     def regime_profile(self) -> DataFrame:
-        return regime_profile(self.prepared)
+        return regime_profile(self.prepared).persist()
 
     @cached_property
     def company_events(self) -> DataFrame:
-        return company_profile_events(self.tx)
+        return company_profile_events(self.tx).persist()
+
+    @cached_property
+    def selected(self) -> DataFrame:
+        """Selected companies with their position; at most the selection budget of rows."""
+        chosen = select_companies(self.company_events).filter("is_selected_company")
+        order = Window.orderBy(F.desc("company_score"), F.desc("total_abs_amount"), F.desc("n_rows"), "company_name")
+        return chosen.select("company_name", F.row_number().over(order).alias("position")).persist()
+
+    @cached_property
+    def own_series(self) -> DataFrame:
+        return select_own_series(self.regime_profile).persist()
 
     @cached_property
     def all_rows(self) -> DataFrame:

@@ -22,6 +22,7 @@ def local_session(cores: int | str = "*", app: str = "paytide") -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in _DEFAULTS.items():

@@ -43,6 +43,7 @@ def _read_layout(spark: SparkSession, files, separator: str) -> DataFrame:
         pathGlobFilter="*.csv",
     )
     names = raw.columns
+    raw = raw.fillna("", names)  # a blank field is an empty text here; Silver decides what is missing
     return number_rows(
         raw.select(
             *names,
