@@ -364,7 +364,7 @@ def _(t):
 
 
 def _series_rows(t):
-    return R.assign_series_ids(t.prepared, _own(t))
+    return R.assign_series_ids(t.prepared, _own(t)).persist()  # its summaries read it several times
 
 
 @query("assign_series_ids", "SELECT ID, initial_series_id, series_id, series_type FROM series_rows")
