@@ -1,10 +1,14 @@
 """Small helpers shared by the operators of this package."""
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
 
@@ -17,8 +21,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Whole texts go to Python in batches of at most ARROW_ROWS rows, so that long texts fit in memory."""
+_shipped: set[str] = set()
+
+
+def ready(spark: SparkSession) -> None:
+    """Before Python runs on executors: give them this package, and texts in small batches.
+
+    Whole texts go to Python in batches of at most ARROW_ROWS rows, so that long texts fit in memory.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        root = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp(prefix="package-")) / f"{root.name}.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        context.addPyFile(str(archive))  # Spark's own file service hands it to every executor
+        _shipped.add(context.applicationId)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
@@ -38,6 +57,11 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def widened(schema: T.StructType, ddl: str) -> T.StructType:
+    """A new schema with more columns (StructType.add would change the one of the DataFrame)."""
+    return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])
+
+
 def words(text: Column) -> Column:
     """All words of a text in order; none for a null text."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")

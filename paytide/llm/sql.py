@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from .quality import CLASSES, COMMON, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MIN_CLASS_CHARS, MIN_WORDS
+from .urlfilter import OTHERWISE, RULES
 
 ORACLES: dict[str, str] = {}
 
@@ -52,3 +53,15 @@ SELECT doc_id, n_words::BIGINT AS n_words, n_chars_in_words::BIGINT AS word_char
     AND coalesce(dw, 0) <= {MAX_WORD_DISTANCE} AS kept
 FROM h LEFT JOIN dc USING (doc_id) LEFT JOIN dw USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id)
 """
+
+_RULES = ", ".join(f"('{r}', split_part('{r}', '/', 1), '{r[r.index('/'):]}', '{v}')" for r, v in RULES)
+
+ORACLES["op6_url_filters"] = rf"""
+WITH u AS (SELECT page_id,
+  translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r(rule, rule_host, rule_path, verdict) AS (VALUES {_RULES})
+SELECT page_id, host, path, rule, coalesce(verdict, '{OTHERWISE}') AS verdict FROM u LEFT JOIN r
+  ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS LAST, length(rule_host) DESC) = 1
+"""
