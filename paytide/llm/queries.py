@@ -49,4 +49,11 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages").select("page_id", "url"), build(known_rules(spark))).drop("url")
 
 
+@_query
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive, archived_pages
+
+    return archived_pages(spark, archive(table(spark, sf_dir, "pages")))
+
+
 __all__ = ["ORACLES", "QUERIES"]

@@ -65,3 +65,12 @@ SELECT page_id, host, path, rule, coalesce(verdict, '{OTHERWISE}') AS verdict FR
   ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS LAST, length(rule_host) DESC) = 1
 """
+
+ORACLES["op5_warc"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
+  CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f USING (d)
+"""

@@ -6,11 +6,7 @@ vectorised binary search, and confirm each hit against the stored text.
 """
 from __future__ import annotations
 
-import os
 import struct
-import tempfile
-import urllib.parse
-import uuid
 
 import numpy as np
 import pandas as pd
@@ -18,7 +14,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, ready
+from .common import ready, shared_path
+from .files import mapped, put
 
 #: The rules of the registered query, as (rule, verdict).
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
@@ -40,45 +37,6 @@ def path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def _local(uri: str) -> str | None:
-    """The local path of a file: URI or plain path; None for another store."""
-    parts = urllib.parse.urlparse(uri)
-    return urllib.parse.unquote(parts.path) if parts.scheme in ("", "file") else None
-
-
-def _put(uri: str, data: bytes) -> None:
-    """Write a file under its final name at once, so that a repeated task leaves one whole copy."""
-    local = _local(uri)
-    if local is not None:
-        os.makedirs(os.path.dirname(local), exist_ok=True)
-        part = f"{local}.{uuid.uuid4().hex}.tmp"
-        with open(part, "wb") as f:
-            f.write(data)
-        os.replace(part, local)
-        return
-    from pyarrow import fs
-
-    store, where = fs.FileSystem.from_uri(uri)
-    store.create_dir(os.path.dirname(where), recursive=True)
-    part = f"{where}.{uuid.uuid4().hex}.tmp"
-    with store.open_output_stream(part) as f:
-        f.write(data)
-    store.move(part, where)
-
-
-def _mapped(uri: str) -> str:
-    """A local path of a segment; one from another store is copied to the worker's temporary folder."""
-    local = _local(uri)
-    if local is not None:
-        return local
-    from pyarrow import fs
-
-    store, where = fs.FileSystem.from_uri(uri)
-    with store.open_input_stream(where) as f, tempfile.NamedTemporaryFile(delete=False) as out:
-        out.write(f.read())
-    return out.name
-
-
 class Segment:
     """A sorted run of keys with their texts and verdicts, mapped into memory."""
 
@@ -140,7 +98,7 @@ def build(rules: DataFrame, folder: str | None = None, rows_per_segment: int = R
         got = [(struct.unpack(">Q", k)[0], r.encode(), int(b)) for f in frames for k, r, b in zip(f["key"], f["rule"], f["block"], strict=True)]
         if got:
             name = f"{folder}/segment-{TaskContext.get().partitionId():06d}.bin"
-            _put(name, _packed(got))
+            put(name, _packed(got))
             yield pd.DataFrame({"first": [struct.pack(">Q", min(got)[0])], "file": [name]})
 
     made = dealt.mapInPandas(write, "first binary, file string").collect()
@@ -150,7 +108,7 @@ def build(rules: DataFrame, folder: str | None = None, rows_per_segment: int = R
 
 def _segment(uri: str) -> Segment:
     if uri not in _open:
-        _open[uri] = Segment(_mapped(uri))
+        _open[uri] = Segment(mapped(uri))
     return _open[uri]
 
 
