@@ -56,4 +56,14 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(spark, archive(table(spark, sf_dir, "pages")))
 
 
+@_query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .langid import held_out, identify, learn
+
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id")))
+    return identify(docs.select("doc_id", "held_out", "text"), learn(docs.filter(~F.col("held_out"))))
+
+
 __all__ = ["ORACLES", "QUERIES"]
