@@ -66,4 +66,26 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "held_out", "text"), learn(docs.filter(~F.col("held_out"))))
 
 
+@_query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, judge
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return judge(docs, fit(docs, table(spark, sf_dir, "labels"))).drop("text")
+
+
+@_query
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import known, scan
+
+    return scan(table(spark, sf_dir, "documents"), known(spark))
+
+
+@_query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("digest")
+
+
 __all__ = ["ORACLES", "QUERIES"]

@@ -1,6 +1,9 @@
 """DuckDB SQL for the queries that SQL can state."""
 from __future__ import annotations
 
+from .decontam import THRESHOLD
+from .license_texts import LICENSES
+from .licenses import COPYRIGHT, EQUIVALENT
 from .quality import CLASSES, COMMON, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MIN_CLASS_CHARS, MIN_WORDS
 from .urlfilter import OTHERWISE, RULES
 
@@ -74,3 +77,44 @@ SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
   CASE WHEN first <> page_id THEN first END AS refers_to
 FROM p LEFT JOIN f USING (d)
 """
+
+
+def _canonical(text: str) -> str:
+    out = f"regexp_replace(lower(coalesce({text}, '')), '(?m){COPYRIGHT}', ' ', 'g')"
+    out = rf"trim(regexp_replace(replace({out}, '&', ' and '), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' ')"
+    for old, new in EQUIVALENT:
+        out = f"replace({out}, '{old}', '{new}')"
+    return out
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_LICENSES = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in LICENSES.items())
+
+ORACLES["op9_license_scans"] = f"""
+WITH known AS (SELECT sha256({_canonical('t')}) AS digest, min(id) AS license_id FROM (VALUES {_LICENSES}) k(id, t) GROUP BY 1),
+d AS (SELECT doc_id, text, {_canonical('text')} AS form FROM documents),
+w AS (SELECT doc_id, CASE WHEN form <> '' THEN sha256(form) END AS text_digest FROM d),
+line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+hits AS (SELECT doc_id, list_sort(list(DISTINCT license_id)) AS l FROM (SELECT doc_id, sha256({_canonical('line')}) AS digest FROM line) JOIN known USING (digest) GROUP BY doc_id)
+SELECT doc_id, text_digest, license_id, coalesce(l, CAST([] AS VARCHAR[])) AS line_licenses
+FROM w LEFT JOIN known ON text_digest = digest LEFT JOIN hits USING (doc_id)
+"""
+
+_ITEM_WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+
+
+def _shingles(source: str, key: str) -> str:
+    return f"""SELECT DISTINCT {key}, CASE WHEN n < 5 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i : i + 4], ' ') END AS s
+  FROM (SELECT {key}, ws, n, unnest(range(1, greatest(n - 4, 1) + 1)) AS i FROM (SELECT {key}, {_ITEM_WORDS} AS ws, len({_ITEM_WORDS}) AS n FROM {source}) WHERE n > 0)"""
+
+
+ORACLES["op2_decontamination"] = f"""
+WITH q AS ({_shingles('benchmark', 'item_id')}), d AS ({_shingles('documents', 'doc_id')}),
+n AS (SELECT item_id, count(*) AS n_item FROM q GROUP BY item_id),
+hit AS (SELECT doc_id, item_id, count(*) AS n_shared FROM q JOIN d USING (s) GROUP BY ALL)
+SELECT doc_id, item_id, n_shared::BIGINT AS n_shared, n_item::BIGINT AS n_item FROM hit JOIN n USING (item_id)
+WHERE 100 * n_shared >= {THRESHOLD} * n_item
+"""
