@@ -88,4 +88,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("digest")
 
 
+@_query
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import join_components
+
+    return join_components(table(spark, sf_dir, "documents"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
