@@ -110,5 +110,5 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: str
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The documents that hold no item, with all their columns."""
     hit = written(contaminated(docs, items, text, key).select(F.col(key).alias("_k"), F.col("digest").alias("_d")).distinct(), "contaminated")
-    mark = F.col(f"`{key}`").eqNullSafe(F.col("_k")) & (F.xxhash64(F.col(f"`{text}`").cast("string")) == F.col("_d"))
-    return docs.join(_small(hit), mark, "left_anti")
+    mark = F.col(f"docs.`{key}`").eqNullSafe(F.col("hit._k")) & (F.xxhash64(F.col(f"docs.`{text}`").cast("string")) == F.col("hit._d"))
+    return docs.alias("docs").join(_small(hit).alias("hit"), mark, "left_anti")

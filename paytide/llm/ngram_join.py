@@ -181,10 +181,10 @@ def fingerprints(texts: DataFrame) -> DataFrame:
                 hi.append(_signed(xxhash.xxh3_64_intdigest(raw)))
                 lo.append(_signed(xxhash.xxh64_intdigest(raw, seed=1)))
                 seen[(s >> np.uint64(44)).astype(np.int64)] += 1
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int32()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array([False] * len(n))], names=names)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int32()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array([False] * len(n), pa.bool_())], names=names)
         top = np.argpartition(seen, -REPORTED)[-REPORTED:]
         top = top[seen[top] > 1]
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(top), pa.int64()), pa.array(np.zeros(len(top)), pa.int32()), pa.array(top), pa.array(seen[top]), pa.array([True] * len(top))], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(top), pa.int64()), pa.array(np.zeros(len(top)), pa.int32()), pa.array(top), pa.array(seen[top]), pa.array([True] * len(top), pa.bool_())], names=names)
 
     names = ["id", "n", "hi", "lo", "bucket"]
     return texts.mapInArrow(run, "id long, n int, hi long, lo long, bucket boolean")
@@ -195,7 +195,7 @@ def _order(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return s[np.lexsort((s, counts[(s >> np.uint64(44)).astype(np.int64)]))]
 
 
-def prefixes(texts: DataFrame, counts) -> DataFrame:
+def prefixes(texts: DataFrame, counts, salted: int = SALTED) -> DataFrame:
     """Rows (h, salt, node, n, first) of the prefix of each distinct set; ``first``: also in the shorter prefix of a smaller partner."""
     names = ["h", "salt", "node", "n", "first"]
 
@@ -219,7 +219,7 @@ def prefixes(texts: DataFrame, counts) -> DataFrame:
                 p = _order(s, frequent)[: n - needed_least(n) + 1]
                 seen = frequent[(p >> np.uint64(44)).astype(np.int64)]
                 out[0].append(p.view(np.int64))
-                out[1].append((np.uint64(node) % (1 + seen // SALTED).astype(np.uint64)).astype(np.int32))
+                out[1].append((np.uint64(node) % (1 + seen // salted).astype(np.uint64)).astype(np.int32))
                 out[2].append(np.full(len(p), _signed(node), dtype=np.int64))
                 out[3].append(np.full(len(p), n, dtype=np.int32))
                 out[4].append(np.arange(len(p)) < n - needed(n, n) + 1)
@@ -348,7 +348,8 @@ def _labels(ids: DataFrame, links: DataFrame) -> DataFrame:
     return ids.join(found, "id", "left").withColumn("label", F.coalesce("_c", "id")).drop("_c")
 
 
-def join_components(docs: DataFrame, text: str = "text", key: str = "doc_id", limit: int = LIMIT, long_run: int = LONG_RUN) -> DataFrame:
+def join_components(docs: DataFrame, text: str = "text", key: str = "doc_id", limit: int = LIMIT, long_run: int = LONG_RUN,
+                    salted: int = SALTED) -> DataFrame:
     """One row per row of ``docs``: key, n_shingles, component_id (smallest key reachable by links), class_id (smallest key with an equal set).
 
     Texts without words, and null texts, have an empty set and stand alone. Rows of one key are one document
@@ -366,7 +367,7 @@ def join_components(docs: DataFrame, text: str = "text", key: str = "doc_id", li
     classes = written(classes, "classes")
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    shared = written(shared_rows(prefixes(texts.filter("id IS NOT NULL"), counts), parts), "shared-prefixes")
+    shared = written(shared_rows(prefixes(texts.filter("id IS NOT NULL"), counts, salted), parts), "shared-prefixes")
     links = _find(texts, shared, classes, limit, long_run)
 
     classed = written(rows.join(classes.drop("n", "rows"), ["hi", "lo"], "left").select("id", F.col("n").cast("long").alias("n"), "class_id"), "classed")
