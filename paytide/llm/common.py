@@ -14,7 +14,7 @@ from ..session import ensure_checkpoint_dir
 
 #: The white space that separates words.
 BLANKS = r"[\x20\x09-\x0D]+"
-ARROW_ROWS = 1000
+ARROW_ROWS = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

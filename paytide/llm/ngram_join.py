@@ -6,9 +6,13 @@ by a heap, ids that occur T - L times or more are candidates, and these are look
 binary search. That search runs within parts of bounded size, which Spark prepares:
 
 1. Equal sets are one class, found by a fingerprint; one set per class is joined.
-2. Shingles get one global order, rare ones first (an approximate count of frequent shingles decides the
-   order only). Sets that reach T share a shingle among the first ones of each (prefix filter), so rows of
-   (shingle, set) for these prefixes, grouped by shingle, connect all sets that can be linked.
+2. Sets that can be linked are connected by shared keys. A key is a pair of neighbours in the sorted set:
+   sets of a and b shingles that share o of them share 3 o - a - b - 1 such pairs at least, since each
+   shingle of one set alone parts one pair of the shared ones. That is a third of a + b, less one, for
+   linked sets; so they share a key among the first keys of each in one global order (prefix filter).
+   A passage that many documents hold hardly gives shared pairs, unlike single shingles. Rows of (key,
+   set), grouped by key, connect all sets that can be linked. Frequent keys are counted approximately:
+   the count decides their place in the order and their salt, not the result.
 3. Connected sets form blocks; small blocks share a cell, blocks over LIMIT shingles are cut into chunks.
    The whole sets of a cell are brought together once and searched.
 4. For cut blocks: one set of each component found in a chunk is searched against the others of the block,
@@ -16,7 +20,7 @@ binary search. That search runs within parts of bounded size, which Spark prepar
    in different components call for more. The sets of such a row meet in the chunk that holds most of
    them; rows of more than LONG_RUN sets are dealt over pairs of chunks.
 
-A frequent prefix shingle is salted by its count. No pair of linked copies is ever a row: links become
+A frequent key is salted by its count. No pair of linked copies is ever a row: links become
 components (union-find in a cell, then stars over tables).
 """
 from __future__ import annotations
@@ -180,7 +184,8 @@ def fingerprints(texts: DataFrame) -> DataFrame:
                 n.append(len(s))
                 hi.append(_signed(xxhash.xxh3_64_intdigest(raw)))
                 lo.append(_signed(xxhash.xxh64_intdigest(raw, seed=1)))
-                seen[(s >> np.uint64(44)).astype(np.int64)] += 1
+                if len(s) > 1:
+                    seen[_bucket(keys_of(s))] += 1
             yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int32()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array([False] * len(n), pa.bool_())], names=names)
         top = np.argpartition(seen, -REPORTED)[-REPORTED:]
         top = top[seen[top] > 1]
@@ -190,14 +195,28 @@ def fingerprints(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "id long, n int, hi long, lo long, bucket boolean")
 
 
-def _order(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Shingles in the global order: frequent buckets last, by count, then by hash."""
-    return s[np.lexsort((s, counts[(s >> np.uint64(44)).astype(np.int64)]))]
+def keys_of(s: np.ndarray) -> np.ndarray:
+    """One hash for each pair of neighbours in a sorted set."""
+    k = s[:-1] * _FACTORS[1] + s[1:] * _FACTORS[2]
+    k ^= k >> np.uint64(32)
+    k *= _FACTORS[3]
+    return k ^ (k >> np.uint64(29))
+
+
+def _bucket(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(44)).astype(np.int64)
+
+
+def prefix_lengths(n: int) -> tuple[int, int]:
+    """First keys to look at for a partner that is at least as large, and for any partner."""
+    smaller = -(-PERCENT * n // 100)
+    return n - -(-2 * n // 3) + 1, n - -(-(n + smaller) // 3) + 1
 
 
 def prefixes(texts: DataFrame, counts, salted: int = SALTED) -> DataFrame:
-    """Rows (h, salt, node, n, first) of the prefix of each distinct set; ``first``: also in the shorter prefix of a smaller partner."""
-    names = ["h", "salt", "node", "n", "first"]
+    """Rows (h, meta, node) of the key prefix of each distinct set; meta packs salt, size and whether the key is
+    also in the prefix for larger partners (0) or not (1), in this order."""
+    names = ["h", "meta", "node"]
 
     def run(batches):
         frequent = np.zeros(BUCKETS, dtype=np.int64)
@@ -208,7 +227,7 @@ def prefixes(texts: DataFrame, counts, salted: int = SALTED) -> DataFrame:
             for t in batch.column("text").to_pylist():
                 s = shingle_set(t)
                 n = len(s)
-                if not n:
+                if n < 2:  # a single shingle is linked with an equal set only
                     continue
                 node = xxhash.xxh3_64_intdigest(s.tobytes())
                 if node in done:  # a copy adds nothing
@@ -216,32 +235,32 @@ def prefixes(texts: DataFrame, counts, salted: int = SALTED) -> DataFrame:
                 if len(done) > 1_000_000:
                     done.clear()
                 done.add(node)
-                p = _order(s, frequent)[: n - needed_least(n) + 1]
-                seen = frequent[(p >> np.uint64(44)).astype(np.int64)]
-                out[0].append(p.view(np.int64))
-                out[1].append((np.uint64(node) % (1 + seen // salted).astype(np.uint64)).astype(np.int32))
-                out[2].append(np.full(len(p), _signed(node), dtype=np.int64))
-                out[3].append(np.full(len(p), n, dtype=np.int32))
-                out[4].append(np.arange(len(p)) < n - needed(n, n) + 1)
+                k = keys_of(s)
+                larger, any_size = prefix_lengths(n)
+                seen = frequent[_bucket(k)]
+                if len(k) > any_size:
+                    order = np.lexsort((k, seen))[:any_size] if seen.any() else np.argsort(k)[:any_size]
+                    k, seen = k[order], seen[order]
+                else:
+                    larger = len(k)
+                salt = (np.uint64(node) % (1 + seen // salted).astype(np.uint64)).astype(np.int64)
+                out[0].append(k.view(np.int64))
+                out[1].append((salt << 40) + 2 * n + (np.arange(len(k)) >= larger))
+                out[2].append(np.full(len(k), _signed(node), dtype=np.int64))
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=names)
 
-    return texts.mapInArrow(run, "h long, salt int, node long, n int, first boolean")
-
-
-def needed_least(n: int) -> int:
-    """The fewest shared shingles with any partner: the smallest one has PERCENT of the size."""
-    return needed(n, -(-PERCENT * n // 100))
+    return texts.mapInArrow(run, "h long, meta long, node long")
 
 
 def shared_rows(prefix: DataFrame, parts: int) -> DataFrame:
     """The prefix rows whose shingle more than one set has, with ``prev``: the last earlier set that it may be linked with.
 
-    Rows come sorted by shingle and size; a set can be linked only with one whose ``first`` holds and whose
+    Rows come sorted by key and size; a set can be linked only with one whose ``first`` holds and whose
     size is within the bound, and all those are connected by a chain of ``prev``. State: one row.
     """
-    names = ["h", "salt", "node", "n", "first", "prev"]
-    dealt = prefix.repartition(parts, "h", "salt").sortWithinPartitions("h", "salt", "n", F.desc("first"), "node")
+    names = ["h", "salt", "node", "n", "prev"]
+    dealt = prefix.repartition(parts, "h", F.shiftright("meta", 40)).sortWithinPartitions("h", "meta", "node")
 
     def run(batches):
         carry: list[np.ndarray] | None = None  # the last row, and the last row with ``first`` of its run
@@ -249,7 +268,7 @@ def shared_rows(prefix: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
             old = 0
             if carry is not None:
                 old = len(carry[0])
@@ -257,22 +276,23 @@ def shared_rows(prefix: DataFrame, parts: int) -> DataFrame:
             copy = np.zeros(len(cols[0]), dtype=bool)  # the same set from another task
             copy[1:] = (cols[0][1:] == cols[0][:-1]) & (cols[1][1:] == cols[1][:-1]) & (cols[2][1:] == cols[2][:-1])
             copy[:old] = False
-            h, salt, node, n, first = cols = [c[~copy] for c in cols]
+            h, meta, node = cols = [c[~copy] for c in cols]
+            salt, n, first = meta >> 40, (meta & ((1 << 40) - 1)) >> 1, meta & 1 == 0
             new = np.r_[True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])]
             at = np.arange(len(h))
             start = np.maximum.accumulate(np.where(new, at, 0))
             last = np.r_[-1, np.maximum.accumulate(np.where(first, at, -1))[:-1]]
-            ok = (last >= start) & (100 * n[last].astype(np.int64) >= PERCENT * n.astype(np.int64)) & (node[last] != node)
+            ok = (last >= start) & (100 * n[last] >= PERCENT * n) & (node[last] != node)
             same = np.r_[False, ~new[1:]] | np.r_[~new[1:], False]  # another row of the run is beside it
             emit = same.copy()
             emit[:old] = False
             if carry is not None and not flag and len(h) > old and not new[old]:
                 emit[old - 1] = True  # the carried row turned out to have company
-            prev = [int(node[i]) if k else None for i, k in zip(last, ok, strict=True)]
+            ok[:old] = False
             keep = np.flatnonzero(emit)
             if len(keep):
-                yield pa.RecordBatch.from_arrays(
-                    [*[pa.array(c[keep]) for c in cols], pa.array([prev[i] if i >= old else None for i in keep], pa.int64())], names=names)
+                prev = pa.array(node[last[keep]], mask=~ok[keep])
+                yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(salt[keep].astype(np.int32)), pa.array(node[keep]), pa.array(n[keep]), prev], names=names)
             tail = [len(h) - 1]
             run_first = last[-1] if not first[-1] else len(h) - 1
             if run_first >= start[-1] and run_first != len(h) - 1:
@@ -280,7 +300,7 @@ def shared_rows(prefix: DataFrame, parts: int) -> DataFrame:
             flag = bool(emit[-1]) or (len(h) - 1 < old and flag)
             carry = [c[tail] for c in cols]
 
-    return dealt.mapInArrow(run, "h long, salt int, node long, n int, first boolean, prev long")
+    return dealt.mapInArrow(run, "h long, salt int, node long, n long, prev long")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
