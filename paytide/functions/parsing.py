@@ -42,15 +42,18 @@ def strip(c: Column | str) -> Column:
     return F.trim(_col(c), F.lit(BLANKS))
 
 
+def once(value: Column, body) -> Column:
+    """body(value) with the value computed once per row, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def clean_text(c: Column | str) -> Column:
-    text = strip(_col(c).cast("string"))
-    return F.when(~F.lower(text).isin(*NULL_TOKENS), text)
+    return once(strip(_col(c).cast("string")), lambda text: F.when(~F.lower(text).isin(*NULL_TOKENS), text))
 
 
 def number_from_text(text: Column) -> Column:
     """Decimal comma and group blanks; text that is no number becomes null, also in ANSI mode."""
-    digits = F.translate(text, ",\u00a0 ", ".")
-    return F.when(digits.rlike(_NUMERIC_SHAPE), digits.try_cast("double"))
+    return once(F.translate(text, ",\u00a0 ", "."), lambda digits: F.when(digits.rlike(_NUMERIC_SHAPE), digits.try_cast("double")))
 
 
 def parse_float(c: Column | str) -> Column:
@@ -67,12 +70,13 @@ def parse_int(c: Column | str) -> Column:
 
 
 def parse_date(c: Column | str) -> Column:
-    text = clean_text(c)
-    tries = [
-        F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(fmt)).cast("date"))
-        for shape, fmt in DATE_FORMATS
-    ]
-    return F.coalesce(*tries)
+    """The first format of the text's shape that gives a day; shapes decide, so most texts try one or two formats."""
+
+    def by_shape(text: Column) -> Column:
+        tries = [F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(fmt)).cast("date")) for shape, fmt in DATE_FORMATS]
+        return F.coalesce(*tries)
+
+    return once(clean_text(c), by_shape)
 
 
 PARSERS = {

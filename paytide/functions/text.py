@@ -1,6 +1,8 @@
 """Names, labels and counterparties out of free text."""
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,9 +23,20 @@ COMPANY_PATTERNS = (
     r"(?i)^([^/]+)/",
 )
 
-# Accented Latin letters and their base letters, for upper-case text.
-_ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝŸĀĂĄĆĈĊČĎĒĔĖĘĚĜĞĠĢĤĨĪĬĮİĴĶĹĻĽŃŅŇŌŎŐŔŖŘŚŜŞŠŢŤŨŪŬŮŰŲŴŶŹŻŽȘȚ"
-_BASE = "AAAAAACEEEEIIIINOOOOOUUUUYYAAACCCCDEEEEEGGGGHIIIIIJKLLLNNNOOORRRSSSSTTUUUUUUWYZZZST"
+
+def _base_letter(ch: str) -> str:
+    """The letter that a code point decomposes to, with all its marks left out."""
+    parts = unicodedata.decomposition(ch)
+    while parts and not parts.startswith("<"):
+        ch = chr(int(parts.split()[0], 16))
+        parts = unicodedata.decomposition(ch)
+    return ch
+
+
+# Letters whose canonical decomposition starts with A-Z, and that letter, for upper-case text.
+_DECOMPOSED = {chr(i): _base_letter(chr(i)) for i in range(0xC0, 0x2000) if unicodedata.decomposition(chr(i))}
+_ACCENTED = "".join(c for c, base in _DECOMPOSED.items() if "A" <= base <= "Z" and len(base) == 1)
+_BASE = "".join(_DECOMPOSED[c] for c in _ACCENTED)
 
 NO_COMPANY = "NO_COMPANY"
 

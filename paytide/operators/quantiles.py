@@ -14,7 +14,7 @@ RANGES = 64
 
 
 def cumulative_by_value(df: DataFrame, value: str, measures: dict[str, Column], keys=(), ranges: int = RANGES) -> DataFrame:
-    """One row per (keys, value) with each measure, its sum below (X_BEFORE) and up to it (X_THROUGH)."""
+    """One row per (keys, value) with each measure, its sum below (X_BEFORE), up to it (X_THROUGH) and in all (X_ALL)."""
     keys = list(keys)
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[m.alias(n) for n, m in measures.items()])
     points = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
@@ -34,6 +34,7 @@ def cumulative_by_value(df: DataFrame, value: str, measures: dict[str, Column],
         *[F.col(k).alias(f"_k_{k}") for k in keys],
         F.col("_range").alias("_k_range"),
         *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in measures],
+        *[F.sum(f"_t_{n}").over(Window.partitionBy(*keys)).alias(f"{n}_ALL") for n in measures],
     )
     on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_range") == F.col("_k_range")]
     joined = ranged.join(offsets, on)
@@ -41,7 +42,7 @@ def cumulative_by_value(df: DataFrame, value: str, measures: dict[str, Column],
     out = []
     for n in measures:
         through = F.sum(n).over(inside) + F.col(f"_o_{n}")
-        out += [F.col(n), (through - F.col(n)).alias(f"{n}_BEFORE"), through.alias(f"{n}_THROUGH")]
+        out += [F.col(n), (through - F.col(n)).alias(f"{n}_BEFORE"), through.alias(f"{n}_THROUGH"), F.col(f"{n}_ALL")]
     return joined.select(*keys, value, *out)
 
 
@@ -61,9 +62,7 @@ def attach(df: DataFrame, small: DataFrame, keys=()) -> DataFrame:
 
 def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], keys=()) -> DataFrame:
     """Linearly interpolated quantiles per key: {column name: probability}."""
-    ranked = cumulative_by_value(df, value, {"_rows": F.count(F.lit(1))}, keys)
-    rows = df.filter(F.col(value).isNotNull())
-    ranked = attach(ranked, totals_by_key(rows, {"_total": F.count(F.lit(1))}, keys), keys)
+    ranked = cumulative_by_value(df, value, {"_rows": F.count(F.lit(1))}, keys).withColumnRenamed("_rows_ALL", "_total")
     out = []
     for name, q in quantiles.items():
         position = F.lit(float(q)) * (F.col("_total") - 1)
@@ -85,9 +84,7 @@ def percent_ranks(df: DataFrame, names: dict[str, str], keys=()) -> DataFrame:
     out = df
     for value, name in names.items():
         ranked = cumulative_by_value(df, value, {"_rows": F.count(F.lit(1))}, keys)
-        rows = df.filter(F.col(value).isNotNull())
-        ranked = attach(ranked, totals_by_key(rows, {"_total": F.count(F.lit(1))}, keys), keys)
-        rank = (F.col("_rows_BEFORE") + (F.col("_rows") + 1) / 2) / F.col("_total")
+        rank = (F.col("_rows_BEFORE") + (F.col("_rows") + 1) / 2) / F.col("_rows_ALL")
         out = attach(out, ranked.select(*keys, value, rank.alias(name)), [*keys, value])
     return out
 

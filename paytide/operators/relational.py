@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.layers import scratch_path
 from .gold import VALUE
 
 
@@ -92,7 +93,21 @@ def top_share_of_rows(df: DataFrame, order: str, tie: str, shares, measure: str)
 
 def sequence_label(prefix: str, number: Column | str, width: int = 2) -> Column:
     n = F.col(number) if isinstance(number, str) else number
-    return F.concat(F.lit(prefix), F.lpad(n.cast("string"), width, "0"))
+    return F.format_string(f"{prefix}%0{width}d", n)
+
+
+def numbered(df: DataFrame, order, name: str = "_number") -> DataFrame:
+    """Rows with their number in a total order: sorted ranges, numbered inside, plus the rows of earlier ranges.
+
+    The ranges are written down, so that counts and rows come from the same cut.
+    """
+    path = scratch_path(df.sparkSession, "numbered")
+    df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    ranged = df.sparkSession.read.parquet(path)
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    before = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn(name, inside).join(before, "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")
 
 
 def block_shuffle(df: DataFrame, order: str, value: str, seed: int, block: int = 28) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import AMOUNT_BINS, ladder
 from ..functions.text import NO_COMPANY, sanitize_label, simple_company_name
-from ..session import ensure_checkpoint_dir
 from .companies import (
     REGIME_KEYS,
     prepare_transactions,
@@ -351,39 +350,50 @@ def suggest_remaining_rules(groups: DataFrame, max_series: int = 15) -> DataFram
         F.lit("*").alias("company_name"), "company_found", "amount_bin", "remaining_behavior", "min_abs_amount", "max_abs_amount")
 
 
-MAX_RULES = 10_000
+_RULE_KEYS = ("company_name", "company_found", "amount_bin", "remaining_behavior")
+
+
+def usable_rules(rules: DataFrame) -> DataFrame:
+    """Enabled rules with every gap filled: a missing field matches anything, missing bounds are 0 and infinity,
+    and a missing ``enabled`` is true, as are "true", "1" and "yes" in any case."""
+    on = F.lower(F.trim(F.coalesce(F.col("enabled").cast("string"), F.lit("true")))).isin("true", "1", "yes")
+    filled = {k: F.coalesce(F.col(k).cast("string"), F.lit("*")) if k in rules.columns else F.lit("*") for k in _RULE_KEYS}
+    return rules.filter(on).withColumns({
+        **filled, "min_abs_amount": F.coalesce(F.col("min_abs_amount").cast("double"), F.lit(0.0)),
+        "max_abs_amount": F.coalesce(F.col("max_abs_amount").cast("double"), F.lit(INF))})
 
 
 def assign_by_rules(tx: DataFrame, rules: DataFrame) -> DataFrame:
-    """First matching rule per row by priority; ``*`` matches anything.
+    """First matching rule per row by priority; ``*`` and a missing value match anything.
 
-    The rules of a company are gathered into one short list, so rows meet them by an equi-join on
-    the company plus the list of general rules as one value; a row never multiplies. Rules are a
-    small table that an analyst edits, so it is written down before the rows are read.
+    The distinct field values of the rows meet the rules by equi-joins, once for each set of wildcards
+    (a value is replaced by ``*`` where the rule has it). Per combination of values the amount ranges are
+    then cut into disjoint spans with one winner each, so a row meets at most one span: no list per row,
+    no row multiplied, no limit on the number of rules.
     """
-    ensure_checkpoint_dir(rules.sparkSession)
-    enabled = rules.filter("enabled").checkpoint()
-    fields = ["priority", "series_name", "rule_type", "company_found", "amount_bin", "remaining_behavior", "min_abs_amount", "max_abs_amount"]
-    listed = F.array_sort(F.collect_list(F.struct(*fields)))
-    own = enabled.filter("company_name <> '*'").groupBy("company_name").agg(listed.alias("_own"))
-    size = enabled.agg(F.count("*")).scalar()
-    general = enabled.filter("company_name = '*'").agg(listed.alias("g")).scalar()
-    checked = F.when(size > MAX_RULES, F.raise_error(F.lit("too many rules to hold beside a row"))).otherwise(general)
-    joined = attach(tx, own, ["company_name"]).withColumn("_general", checked)
-    has_behavior = "remaining_behavior" in tx.columns
-
-    def fits(r):
-        ok = (F.col("abs_amount") >= r["min_abs_amount"]) & (F.col("abs_amount") < r["max_abs_amount"])
-        ok = ok & ((r["company_found"] == "*") | (r["company_found"] == F.col("company_found").cast("string")))
-        ok = ok & ((r["amount_bin"] == "*") | (r["amount_bin"] == F.col("amount_bin")))
-        if has_behavior:
-            ok = ok & ((r["remaining_behavior"] == "*") | (r["remaining_behavior"] == F.col("remaining_behavior")))
-        return F.coalesce(ok, F.lit(False))
-
-    empty = F.array().cast("array<struct<priority:int,series_name:string,rule_type:string,company_found:string,amount_bin:string,remaining_behavior:string,min_abs_amount:double,max_abs_amount:double>>")
-    both = F.concat(F.coalesce("_own", empty), F.coalesce("_general", empty))
-    match = F.array_min(F.filter(both, fits))
-    return joined.withColumn("_m", match).select(
+    held = [k for k in _RULE_KEYS if k in tx.columns]
+    usable = usable_rules(rules)
+    named = {f"_{k}": F.coalesce(F.col(k).cast("string"), F.lit("\0")) if k in held else F.lit("\0") for k in _RULE_KEYS}
+    values = [f"_{k}" for k in _RULE_KEYS]
+    keyed = tx.withColumns(named)
+    combos = keyed.select(*values).distinct()
+    options = combos
+    for k in _RULE_KEYS:
+        choice = F.array(F.col(f"_{k}"), F.lit("*")) if k in held else F.array(F.lit("*"))
+        options = options.withColumn(f"_r{k}", F.explode(choice))
+    if "remaining_behavior" not in held:  # rows without the field: rules ignore it
+        usable = usable.withColumn("remaining_behavior", F.lit("*"))
+    rule = F.struct("priority", "series_name", "rule_type", *_RULE_KEYS[1:], "min_abs_amount", "max_abs_amount")
+    named_rules = usable.select(*[F.col(k).alias(f"_r{k}") for k in _RULE_KEYS], rule.alias("_rule"))
+    met = options.join(named_rules, [f"_r{k}" for k in _RULE_KEYS]).select(*values, "_rule")
+    edges = met.select(*values, F.explode(F.array("_rule.min_abs_amount", "_rule.max_abs_amount")).alias("_lo")).distinct()
+    after = F.lead("_lo").over(Window.partitionBy(*values).orderBy("_lo"))
+    spans = edges.withColumn("_hi", after).filter("_hi IS NOT NULL")
+    covers = (F.col("_rule.min_abs_amount") <= F.col("_lo")) & (F.col("_rule.max_abs_amount") >= F.col("_hi"))
+    winners = spans.join(met, values).filter(covers).groupBy(*values, "_lo", "_hi").agg(F.min("_rule").alias("_m"))
+    w = winners.select(*[F.col(v).alias(f"_w{v}") for v in values], "_lo", "_hi", "_m")
+    on = [F.col(v) == F.col(f"_w{v}") for v in values] + [F.col("abs_amount") >= F.col("_lo"), F.col("abs_amount") < F.col("_hi")]
+    return keyed.join(w, on, "left").select(
         *tx.columns, F.col("_m.series_name").alias("series_name"), F.col("_m.rule_type").alias("matched_rule_type"),
         F.col("_m.priority").alias("matched_rule_priority"))
 

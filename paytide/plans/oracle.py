@@ -97,10 +97,10 @@ cte("eval_days", """SELECT DATE AS CUTOFF_DATE, DATE + 1 AS FORECAST_DATE FROM c
 cte("panel", """SELECT e.CUTOFF_DATE, c.DATE, coalesce((sum(k.KNOWN_AMOUNT)), 0) AS amt
  FROM eval_days e JOIN calendar c ON c.DATE BETWEEN e.CUTOFF_DATE - 27 AND e.CUTOFF_DATE
  LEFT JOIN known k ON k.VALUE_DATE = c.DATE AND k.TRADE_DATE <= e.CUTOFF_DATE
- WHERE e.CUTOFF_DATE BETWEEN DATE '1999-10-01' AND DATE '2000-03-31' GROUP BY e.CUTOFF_DATE, c.DATE""")
+ GROUP BY e.CUTOFF_DATE, c.DATE""")
 cte("d1_known", """SELECT e.CUTOFF_DATE, coalesce(sum(k.KNOWN_AMOUNT), 0) AS amt, CAST(coalesce(sum(k.KNOWN_COUNT), 0) AS BIGINT) AS n
  FROM eval_days e LEFT JOIN known k ON k.VALUE_DATE = e.FORECAST_DATE AND k.TRADE_DATE <= e.CUTOFF_DATE
- WHERE e.CUTOFF_DATE BETWEEN DATE '1999-10-01' AND DATE '2000-03-31' GROUP BY e.CUTOFF_DATE""")
+ GROUP BY e.CUTOFF_DATE""")
 cte("features", """SELECT e.CUTOFF_DATE, e.FORECAST_DATE, isodow(e.FORECAST_DATE) - 1 AS DAY_OF_WEEK, day(e.FORECAST_DATE) AS DAY_OF_MONTH,
   e.FORECAST_DATE = last_day(e.FORECAST_DATE) AS IS_MONTH_END, day(e.FORECAST_DATE) = 1 AS IS_MONTH_START, isodow(e.FORECAST_DATE) >= 6 AS IS_WEEKEND,
   coalesce(max(p.amt) FILTER (p.DATE = e.FORECAST_DATE - 1), 0) AS TARGET_LAG_1,
@@ -114,7 +114,8 @@ cte("features", """SELECT e.CUTOFF_DATE, e.FORECAST_DATE, isodow(e.FORECAST_DATE
  FROM eval_days e JOIN d1_known d ON d.CUTOFF_DATE = e.CUTOFF_DATE LEFT JOIN panel p ON p.CUTOFF_DATE = e.CUTOFF_DATE
  GROUP BY e.CUTOFF_DATE, e.FORECAST_DATE""")
 cte("final_labels", """SELECT VALUE_DATE AS DATE, sum(TARGET_AMOUNT) AS TARGET_AMOUNT FROM realized GROUP BY VALUE_DATE""")
-cte("eval_rows", """SELECT f.*, coalesce(l.TARGET_AMOUNT, 0) AS TARGET_AMOUNT FROM features f LEFT JOIN final_labels l ON l.DATE = f.FORECAST_DATE
+cte("day_rows", """SELECT f.*, coalesce(l.TARGET_AMOUNT, 0) AS TARGET_AMOUNT FROM features f LEFT JOIN final_labels l ON l.DATE = f.FORECAST_DATE""")
+cte("eval_rows", """SELECT * FROM day_rows f
  WHERE f.CUTOFF_DATE BETWEEN DATE '2000-01-01' AND DATE '2000-03-31'""")
 cte("folds", """SELECT DATE AS EVALUATION_CUTOFF, DATE - 90 AS TRAIN_CUTOFF_START, DATE - 1 AS TRAIN_CUTOFF_END
  FROM (SELECT CAST(unnest(generate_series(TIMESTAMP '2000-01-01', TIMESTAMP '2000-03-31', INTERVAL 1 DAY)) AS DATE) AS DATE)""")

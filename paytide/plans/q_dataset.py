@@ -24,7 +24,7 @@ def _cols(text):
 
 
 def _pick(t, columns):
-    return t.eval_rows.select("CUTOFF_DATE", *_cols(columns))
+    return t.day_rows.select("CUTOFF_DATE", *_cols(columns))
 
 
 @query("final_targets", "SELECT * FROM final_labels", "TARGET_AMOUNT:2")
@@ -43,11 +43,12 @@ def _(t):
     return D.available_panel(t.known, t.calendar.select("DATE"), "2000-02-15")
 
 
-@query("history_window", """SELECT CUTOFF_DATE, DATE AS VALUE_DATE, CUTOFF_DATE - DATE AS AGE, amt AS AMOUNT FROM panel WHERE CUTOFF_DATE BETWEEN DATE '2000-01-01' AND DATE '2000-03-31' AND amt <> 0""",
+@query("history_window", """SELECT CUTOFF_DATE, DATE AS VALUE_DATE, CUTOFF_DATE - DATE AS AGE, amt AS AMOUNT FROM panel WHERE amt <> 0""",
        "AMOUNT:2", "AGE")
 def _(t):
-    rows = D.as_of_rows(D.as_of_steps(t.known), SPEC.history - 1, D.day_range(EVAL_FROM, EVAL_TO))
-    return rows.filter("AGE >= 0 AND AMOUNT <> 0").select("CUTOFF_DATE", "VALUE_DATE", "AGE", "AMOUNT")
+    rows = D.as_of_rows(D.as_of_steps(t.known), SPEC.history - 1)
+    lo, hi = t.span
+    return rows.filter(F.col("CUTOFF_DATE").between(lo, F.date_sub(hi, 1))).filter("AGE >= 0 AND AMOUNT <> 0").select("CUTOFF_DATE", "VALUE_DATE", "AGE", "AMOUNT")
 
 
 @query("join_as_of_range", """SELECT e.CUTOFF_DATE, k.VALUE_DATE, sum(k.KNOWN_AMOUNT) AS AMOUNT, sum(k.KNOWN_COUNT) AS N FROM eval_days e JOIN known k
@@ -59,63 +60,63 @@ def _(t):
         "CUTOFF_DATE", "VALUE_DATE", "AMOUNT", F.col("COUNT").alias("N"))
 
 
-@query("target_lag", f"SELECT CUTOFF_DATE, {_LAGS} FROM eval_rows", _LAG_DIGITS)
+@query("target_lag", f"SELECT CUTOFF_DATE, {_LAGS} FROM day_rows", _LAG_DIGITS)
 def _(t):
     return _pick(t, _LAGS)
 
 
-@query("rolling_mean", "SELECT CUTOFF_DATE, TARGET_ROLLING_MEAN_7, TARGET_ROLLING_MEAN_28 FROM eval_rows", "TARGET_ROLLING_MEAN_7,TARGET_ROLLING_MEAN_28:4")
+@query("rolling_mean", "SELECT CUTOFF_DATE, TARGET_ROLLING_MEAN_7, TARGET_ROLLING_MEAN_28 FROM day_rows", "TARGET_ROLLING_MEAN_7,TARGET_ROLLING_MEAN_28:4")
 def _(t):
     return _pick(t, "TARGET_ROLLING_MEAN_7, TARGET_ROLLING_MEAN_28")
 
 
-@query("rolling_std", "SELECT CUTOFF_DATE, TARGET_STD_28 FROM eval_rows", "TARGET_STD_28:4")
+@query("rolling_std", "SELECT CUTOFF_DATE, TARGET_STD_28 FROM day_rows", "TARGET_STD_28:4")
 def _(t):
     return _pick(t, "TARGET_STD_28")
 
 
-@query("rolling_non_zero_ratio", "SELECT CUTOFF_DATE, TARGET_NON_ZERO_RATIO_28 FROM eval_rows", "TARGET_NON_ZERO_RATIO_28:8")
+@query("rolling_non_zero_ratio", "SELECT CUTOFF_DATE, TARGET_NON_ZERO_RATIO_28 FROM day_rows", "TARGET_NON_ZERO_RATIO_28:8")
 def _(t):
     return _pick(t, "TARGET_NON_ZERO_RATIO_28")
 
 
-@query("known_d1", "SELECT CUTOFF_DATE, KNOWN_AMOUNT_D1, KNOWN_COUNT_D1 FROM eval_rows", "KNOWN_AMOUNT_D1:2")
+@query("known_d1", "SELECT CUTOFF_DATE, KNOWN_AMOUNT_D1, KNOWN_COUNT_D1 FROM day_rows", "KNOWN_AMOUNT_D1:2")
 def _(t):
     return _pick(t, "KNOWN_AMOUNT_D1, KNOWN_COUNT_D1")
 
 
-@query("calendar_features", f"SELECT CUTOFF_DATE, FORECAST_DATE, {_CAL} FROM eval_rows")
+@query("calendar_features", f"SELECT CUTOFF_DATE, FORECAST_DATE, {_CAL} FROM day_rows")
 def _(t):
     return _pick(t, f"FORECAST_DATE, {_CAL}")
 
 
 @query("cross_movement_known", """SELECT g.ENTITY_SHORTNAME, g.CURRENCY_SHORTNAME, g.MOVEMENT_SCOPE, g.CUTOFF_DATE, sum(o.a) - max(g.a) AS CROSS_MOVEMENT_KNOWN_AMOUNT_D1, sum(o.n) - max(g.n) AS CROSS_MOVEMENT_KNOWN_COUNT_D1
        FROM (SELECT s.*, e.CUTOFF_DATE, coalesce(sum(KNOWN_AMOUNT), 0) AS a, coalesce(sum(KNOWN_COUNT), 0) AS n FROM (SELECT DISTINCT ENTITY_SHORTNAME, CURRENCY_SHORTNAME, MOVEMENT_SCOPE FROM known_grain) s
-         JOIN eval_days e ON e.CUTOFF_DATE BETWEEN DATE '2000-01-01' AND DATE '2000-03-31' LEFT JOIN known_grain k ON k.ENTITY_SHORTNAME = s.ENTITY_SHORTNAME AND k.CURRENCY_SHORTNAME = s.CURRENCY_SHORTNAME
+         CROSS JOIN eval_days e LEFT JOIN known_grain k ON k.ENTITY_SHORTNAME = s.ENTITY_SHORTNAME AND k.CURRENCY_SHORTNAME = s.CURRENCY_SHORTNAME
          AND k.MOVEMENT_SCOPE = s.MOVEMENT_SCOPE AND k.VALUE_DATE = e.FORECAST_DATE AND k.TRADE_DATE <= e.CUTOFF_DATE GROUP BY ALL) g
        JOIN (SELECT s.*, e.CUTOFF_DATE, coalesce(sum(KNOWN_AMOUNT), 0) AS a, coalesce(sum(KNOWN_COUNT), 0) AS n FROM (SELECT DISTINCT ENTITY_SHORTNAME, CURRENCY_SHORTNAME, MOVEMENT_SCOPE FROM known_grain) s
-         JOIN eval_days e ON e.CUTOFF_DATE BETWEEN DATE '2000-01-01' AND DATE '2000-03-31' LEFT JOIN known_grain k ON k.ENTITY_SHORTNAME = s.ENTITY_SHORTNAME AND k.CURRENCY_SHORTNAME = s.CURRENCY_SHORTNAME
+         CROSS JOIN eval_days e LEFT JOIN known_grain k ON k.ENTITY_SHORTNAME = s.ENTITY_SHORTNAME AND k.CURRENCY_SHORTNAME = s.CURRENCY_SHORTNAME
          AND k.MOVEMENT_SCOPE = s.MOVEMENT_SCOPE AND k.VALUE_DATE = e.FORECAST_DATE AND k.TRADE_DATE <= e.CUTOFF_DATE GROUP BY ALL) o
        ON o.ENTITY_SHORTNAME = g.ENTITY_SHORTNAME AND o.CURRENCY_SHORTNAME = g.CURRENCY_SHORTNAME AND o.CUTOFF_DATE = g.CUTOFF_DATE GROUP BY 1, 2, 3, 4""",
        "CROSS_MOVEMENT_KNOWN_AMOUNT_D1:2", "CROSS_MOVEMENT_KNOWN_COUNT_D1")
 def _(t):
-    features = D.dataset_build(t.realized_grain, t.known_grain, EVAL_FROM, EVAL_TO, SPEC, seq=GRAIN)
+    features = D.dataset_build(t.realized_grain, t.known_grain, *t.span, SPEC, seq=GRAIN)
     return D.cross_movement_known(features).select(*GRAIN, "CUTOFF_DATE", "CROSS_MOVEMENT_KNOWN_AMOUNT_D1", "CROSS_MOVEMENT_KNOWN_COUNT_D1")
 
 
-@query("dataset_time_series", f"SELECT CUTOFF_DATE, FORECAST_DATE, TARGET_AMOUNT, {_LAGS}, {_ROLL} FROM eval_rows", f"TARGET_AMOUNT:2 {_LAG_DIGITS} {_ROLL_DIGITS}")
+@query("dataset_time_series", f"SELECT CUTOFF_DATE, FORECAST_DATE, TARGET_AMOUNT, {_LAGS}, {_ROLL} FROM day_rows", f"TARGET_AMOUNT:2 {_LAG_DIGITS} {_ROLL_DIGITS}")
 def _(t):
     spec = D.FeatureSpec(kind="time_series", history=28)
-    return D.dataset_build(t.realized, t.known, EVAL_FROM, EVAL_TO, spec)
+    return D.dataset_build(t.realized, t.known, *t.span, spec)
 
 
 _TAB = f"CUTOFF_DATE, FORECAST_DATE, TARGET_AMOUNT, {_CAL}, {_LAGS}, {_ROLL}, KNOWN_AMOUNT_D1, KNOWN_COUNT_D1, 0.0::DOUBLE AS CROSS_MOVEMENT_KNOWN_AMOUNT_D1, 0 AS CROSS_MOVEMENT_KNOWN_COUNT_D1"
 _TAB_DIGITS = f"TARGET_AMOUNT,KNOWN_AMOUNT_D1:2 {_LAG_DIGITS} {_ROLL_DIGITS}"
 
 
-@query("dataset_tabular", f"SELECT {_TAB} FROM eval_rows", _TAB_DIGITS)
+@query("dataset_tabular", f"SELECT {_TAB} FROM day_rows", _TAB_DIGITS)
 def _(t):
-    return t.eval_rows
+    return t.day_rows
 
 
 @query("dataset_build", """SELECT e.CUTOFF_DATE, e.FORECAST_DATE, coalesce(l.TARGET_AMOUNT, 0) AS TARGET_AMOUNT, coalesce(k.a, 0) AS KNOWN_AMOUNT_D1, coalesce(h.a, 0) AS TARGET_LAG_1
@@ -131,31 +132,31 @@ def _(t):
 
 @query("dataset_manifest")
 def _(t):
-    return D.dataset_manifest(t.eval_rows, SPEC, RULESET.ruleset_id)
+    return D.dataset_manifest(t.day_rows, SPEC, RULESET.ruleset_id)
 
 
 @query("dataset_snapshot", f"""SELECT f.CUTOFF_DATE, f.FORECAST_DATE, coalesce(sum(k.KNOWN_AMOUNT), 0) AS TARGET_AMOUNT, {', '.join(f'any_value(f.{c}) AS {c}' for c in _cols(_LAGS))}
-       FROM features f LEFT JOIN known k ON k.VALUE_DATE = f.FORECAST_DATE AND k.TRADE_DATE <= DATE '2000-03-31' WHERE f.{_EVAL} GROUP BY 1, 2""", f"TARGET_AMOUNT:2 {_LAG_DIGITS}")
+       FROM features f LEFT JOIN known k ON k.VALUE_DATE = f.FORECAST_DATE AND k.TRADE_DATE <= DATE '2000-03-31' GROUP BY 1, 2""", f"TARGET_AMOUNT:2 {_LAG_DIGITS}")
 def _(t):
     from ..sources import layers as L
 
     path = L.scratch_path(t.spark, "snapshot")
-    L.write_dataset(D.dataset_build(t.realized, t.known, EVAL_FROM, EVAL_TO, SPEC, label_as_of=EVAL_TO), path)
+    L.write_dataset(D.dataset_build(t.realized, t.known, *t.span, SPEC, label_as_of=EVAL_TO), path)
     return t.spark.read.parquet(path).select("CUTOFF_DATE", "FORECAST_DATE", "TARGET_AMOUNT", *_cols(_LAGS))
 
 
-@query("numeric_features", f"SELECT CUTOFF_DATE, {', '.join(f'{c}::INT::DOUBLE AS {c}' for c in _cols(_CAL))}, {_LAGS}, {_ROLL}, KNOWN_AMOUNT_D1, KNOWN_COUNT_D1::DOUBLE AS KNOWN_COUNT_D1, 0.0::DOUBLE AS CROSS_MOVEMENT_KNOWN_AMOUNT_D1, 0.0::DOUBLE AS CROSS_MOVEMENT_KNOWN_COUNT_D1 FROM eval_rows",
+@query("numeric_features", f"SELECT CUTOFF_DATE, {', '.join(f'{c}::INT::DOUBLE AS {c}' for c in _cols(_CAL))}, {_LAGS}, {_ROLL}, KNOWN_AMOUNT_D1, KNOWN_COUNT_D1::DOUBLE AS KNOWN_COUNT_D1, 0.0::DOUBLE AS CROSS_MOVEMENT_KNOWN_AMOUNT_D1, 0.0::DOUBLE AS CROSS_MOVEMENT_KNOWN_COUNT_D1 FROM day_rows",
        f"KNOWN_AMOUNT_D1:2 {_LAG_DIGITS} {_ROLL_DIGITS}")
 def _(t):
-    return D.numeric_features(t.eval_rows, keep=("CUTOFF_DATE",))
+    return D.numeric_features(t.day_rows, keep=("CUTOFF_DATE",))
 
 
 # --- target transforms ---
 
 
-@query("transform_log1p", "SELECT FORECAST_DATE, ln(1 + abs(TARGET_AMOUNT)) AS z FROM eval_rows", "z:8")
+@query("transform_log1p", "SELECT FORECAST_DATE, ln(1 + abs(TARGET_AMOUNT)) AS z FROM day_rows", "z:8")
 def _(t):
-    return t.eval_rows.select("FORECAST_DATE", X.log1p(F.abs("TARGET_AMOUNT")).alias("z"))
+    return t.day_rows.select("FORECAST_DATE", X.log1p(F.abs("TARGET_AMOUNT")).alias("z"))
 
 
 @query("transform_box_cox", "SELECT VALUE_DATE, (pow(abs(TARGET_AMOUNT) + 0.5, 0.3) - 1) / 0.3 AS z, ln(abs(TARGET_AMOUNT) + 0.5) AS z0 FROM realized", "z,z0:8")
@@ -200,11 +201,11 @@ def _(t):
 
 
 @query("transform_history_features", """SELECT e.CUTOFF_DATE, coalesce(max(z) FILTER (p.DATE = e.FORECAST_DATE - 7), 0) AS TARGET_LAG_7, avg(z) AS TARGET_ROLLING_MEAN_28, stddev_pop(z) AS TARGET_STD_28,
-       any_value(sign(e.KNOWN_AMOUNT_D1) * ln(1 + abs(e.KNOWN_AMOUNT_D1))) AS KNOWN_AMOUNT_D1 FROM eval_rows e JOIN (SELECT *, sign(amt) * ln(1 + abs(amt)) AS z FROM panel) p ON p.CUTOFF_DATE = e.CUTOFF_DATE GROUP BY 1""",
+       any_value(sign(e.KNOWN_AMOUNT_D1) * ln(1 + abs(e.KNOWN_AMOUNT_D1))) AS KNOWN_AMOUNT_D1 FROM day_rows e JOIN (SELECT *, sign(amt) * ln(1 + abs(amt)) AS z FROM panel) p ON p.CUTOFF_DATE = e.CUTOFF_DATE GROUP BY 1""",
        "TARGET_LAG_7,TARGET_ROLLING_MEAN_28,TARGET_STD_28,KNOWN_AMOUNT_D1:6")
 def _(t):
     scale = D.Rescale(lambda x: F.sign(x) * X.log1p(F.abs(x)), F.lit(0.0))
-    return D.dataset_build(t.realized, t.known, EVAL_FROM, EVAL_TO, SPEC, scale=scale).select(
+    return D.dataset_build(t.realized, t.known, *t.span, SPEC, scale=scale).select(
         "CUTOFF_DATE", "TARGET_LAG_7", "TARGET_ROLLING_MEAN_28", "TARGET_STD_28", "KNOWN_AMOUNT_D1")
 
 
@@ -261,9 +262,10 @@ def _(t):
 # --- rolling-origin evaluation ---
 
 
-@query("fold_grid", "SELECT * FROM folds")
+@query("fold_grid", "SELECT CUTOFF_DATE AS EVALUATION_CUTOFF, CUTOFF_DATE - 90 AS TRAIN_CUTOFF_START, CUTOFF_DATE - 1 AS TRAIN_CUTOFF_END FROM eval_days")
 def _(t):
-    return K.fold_grid(t.spark, EVAL_FROM, EVAL_TO, TRAIN_WINDOW)
+    lo, hi = t.span
+    return K.fold_grid(t.spark, lo, F.date_sub(hi, 1), TRAIN_WINDOW)
 
 
 @query("fold_training_set", f"SELECT EVALUATION_CUTOFF, CUTOFF_DATE, FORECAST_DATE, TARGET_AMOUNT, {_LAGS}, {_ROLL}, KNOWN_AMOUNT_D1 FROM train_rows",
@@ -295,7 +297,8 @@ def _edge_folds(t):
     return K.FoldData(t.realized, t.known, F.date_sub(lo, 3), F.date_add(hi, 40), 20, spec)
 
 
-@query("backtest_run", None)
+@query("backtest_run", "SELECT RUN_NAME, CUTOFF_DATE, FORECAST_DATE, TARGET_AMOUNT, PREDICTION, abs(PREDICTION - TARGET_AMOUNT) AS ABS_ERROR, EVALUATION_CUTOFF, TRAIN_CUTOFF_START, TRAIN_CUTOFF_END FROM preds",
+       "TARGET_AMOUNT:2 PREDICTION,ABS_ERROR:4")
 def _(t):
     return t.predictions
 

@@ -20,11 +20,11 @@ _FRAME_COLUMNS = ("RUN_NAME", "CUTOFF_DATE", "FORECAST_DATE", "TARGET_AMOUNT", "
                   "DAILY_BUSINESS_SCORE", "WEIGHTED_SCORE_POINTS", "WEIGHTED_PENALTY_POINTS")
 
 
-@query("normalize_prediction_frame", f"SELECT {_FRAME}, 'simple' AS FAMILY FROM scored WHERE RUN_NAME = 'simple/target_lag_7'", _FRAME_DIGITS)
+@query("normalize_prediction_frame", f"SELECT {_FRAME}, 'simple' AS FAMILY FROM scored", _FRAME_DIGITS)
 def _(t):
-    raw = t.simple.filter("RUN_NAME = 'simple/target_lag_7'").select("CUTOFF_DATE", "FORECAST_DATE", "TARGET_AMOUNT", "PREDICTION", "ABS_ERROR",
+    raw = t.simple.select("RUN_NAME", "CUTOFF_DATE", "FORECAST_DATE", "TARGET_AMOUNT", "PREDICTION", "ABS_ERROR",
                                                                   "EVALUATION_CUTOFF", "TRAIN_CUTOFF_START", "TRAIN_CUTOFF_END")
-    return E.normalize_prediction_frame(raw, F.lit("simple/target_lag_7"), "simple").select(*_FRAME_COLUMNS, "FAMILY")
+    return E.normalize_prediction_frame(raw, F.col("RUN_NAME"), "simple").select(*_FRAME_COLUMNS, "FAMILY")
 
 
 @query("simple_candidates", f"SELECT {_FRAME} FROM scored", _FRAME_DIGITS)

@@ -219,11 +219,10 @@ def _(t):
     return Q.percent_ranks(t.movements.groupBy("CPTY_NAME").agg(F.count("*").alias("n")), {"n": "pct"})
 
 
-@query("win_sequence_rank", "SELECT CPTY_NAME, concat('AUTO_', lpad(CAST(row_number() OVER (ORDER BY round(a, 2) DESC, CPTY_NAME) AS STRING), 2, '0')) AS label FROM (SELECT CPTY_NAME, sum(AMOUNT) AS a FROM movements GROUP BY 1) ORDER BY round(a, 2) DESC, CPTY_NAME LIMIT 12")
+@query("win_sequence_rank", "SELECT CPTY_NAME, concat('AUTO_', printf('%02d', row_number() OVER (ORDER BY round(a, 2) DESC, CPTY_NAME))) AS label FROM (SELECT CPTY_NAME, sum(AMOUNT) AS a FROM movements GROUP BY 1)")
 def _(t):
-    top = t.movements.groupBy("CPTY_NAME").agg(F.sum("AMOUNT").alias("a")).orderBy(F.desc(F.round("a", 2)), "CPTY_NAME").limit(12)
-    number = F.row_number().over(Window.orderBy(F.desc(F.round("a", 2)), "CPTY_NAME"))
-    return top.select("CPTY_NAME", R.sequence_label("AUTO_", number).alias("label"))
+    totals = t.movements.groupBy("CPTY_NAME").agg(F.round(F.sum("AMOUNT"), 2).alias("a"))
+    return R.numbered(totals, [F.desc("a"), F.asc("CPTY_NAME")]).select("CPTY_NAME", R.sequence_label("AUTO_", "_number").alias("label"))
 
 
 @query("win_diff", f"SELECT CPTY_NAME, VALUE_DATE, a - lag(a) OVER w AS da, VALUE_DATE - lag(VALUE_DATE) OVER w AS GAP FROM ({_DAYS}) WINDOW w AS (PARTITION BY CPTY_NAME ORDER BY VALUE_DATE)", "da:2", "GAP")
@@ -258,11 +257,11 @@ def _(t):
 # --- order, top-k, sets ---
 
 
-@query("sort_nulls_last", "SELECT ID, TRADE_DATE, VALUE_DATE FROM movements ORDER BY nullif(TRADE_DATE, DATE '1994-12-30') ASC NULLS LAST, VALUE_DATE, ID, AMOUNT LIMIT 500")
+@query("sort_nulls_last", "SELECT ID, TRADE_DATE, VALUE_DATE FROM movements ORDER BY nullif(TRADE_DATE, DATE '1994-12-30') ASC NULLS LAST, VALUE_DATE, ID, AMOUNT")
 def _(t):
     early = F.nullif("TRADE_DATE", F.lit("1994-12-30").cast("date"))
     ordered = t.movements.orderBy(early.asc_nulls_last(), F.asc_nulls_last("VALUE_DATE"), F.asc_nulls_last("ID"), "AMOUNT")
-    return ordered.limit(500).select("ID", "TRADE_DATE", "VALUE_DATE")
+    return ordered.select("ID", "TRADE_DATE", "VALUE_DATE")
 
 
 @query("topk_share_of_rows", "SELECT 0.1::DOUBLE AS TOP_DAY_SHARE, greatest(1, CAST(round_even(count(*) * 0.1, 0) AS BIGINT)) AS DAY_COUNT, (SELECT sum(y) FROM (SELECT TARGET_AMOUNT AS y FROM realized ORDER BY y DESC LIMIT (SELECT greatest(1, CAST(round_even(count(*) * 0.1, 0) AS BIGINT)) FROM realized))) / sum(TARGET_AMOUNT) AS ACTUAL_AMOUNT_SHARE FROM realized", "ACTUAL_AMOUNT_SHARE:8")

@@ -126,6 +126,16 @@ class Tables:
     def folds(self) -> FoldData:
         return FoldData(self.realized, self.known, EVAL_FROM, EVAL_TO, TRAIN_WINDOW, SPEC).cache()
 
+    @cached_property
+    def span(self):
+        """First and last day of the Gold tables as scalar subqueries."""
+        return gold_calendar_bounds(self.realized, self.known)
+
+    @cached_property
+    def day_rows(self) -> DataFrame:
+        """Features and final labels of every cutoff of the calendar."""
+        return dataset_build(self.realized, self.known, *self.span, SPEC)
+
     @cached_property
     def eval_rows(self) -> DataFrame:
         return dataset_build(self.realized, self.known, EVAL_FROM, EVAL_TO, SPEC)

@@ -1,8 +1,6 @@
 """Session defaults; a setting the cluster already names is left alone."""
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 _DEFAULTS = {
@@ -33,7 +31,7 @@ def local_session(cores: int | str = "*", app: str = "paytide") -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared checkpoint folder of the cluster; fall back only when none is named."""
+    """Use the shared checkpoint folder of the cluster; a local session without one takes a folder below its warehouse."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         spark.sparkContext.setCheckpointDir(shared)
@@ -43,6 +41,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current.get()
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="paytide-checkpoint-")
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
     spark.sparkContext.setCheckpointDir(folder)
     return folder
