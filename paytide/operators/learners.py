@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..sources.layers import scratch_path
 from .backtest import EVAL, PREDICTION
 from .gold import TARGET
 from .pointintime import CUTOFF, FORECAST, numeric_feature_columns
@@ -30,21 +33,49 @@ def as_vectors(df: DataFrame, names: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=names, outputCol="_features").transform(filled)
 
 
-def fold_days(folds: DataFrame) -> list:
-    """Evaluation days of a run: a few hundred dates at most, one per fit."""
-    return [r[0] for r in folds.select(EVAL).orderBy(EVAL).toLocalIterator()]
+#: Fits that run at once; each is a set of small Spark jobs.
+FITS_AT_ONCE = 8
+
+
+def per_key(model: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[..., DataFrame]:
+    """A model of one fold as a model of all keys: (training, rows, keys) -> rows with PREDICTION.
+
+    The key combinations (folds, or outer and inner folds) are few; FITS_AT_ONCE of them are fitted at a
+    time. Both tables are written partitioned by a number of the combination, so a fit reads its own part
+    only; predictions are written per combination and read once, so the plan does not grow with the folds.
+    """
+
+    def run(training: DataFrame, rows: DataFrame, keys=(EVAL,)) -> DataFrame:
+        spark, keys = rows.sparkSession, list(keys)
+        path = scratch_path(spark, "fits")
+        combos = rows.select(*keys).distinct().orderBy(*keys).collect()
+        if not combos:
+            return rows.withColumn(PREDICTION, F.lit(None).cast("double"))
+        types = dict(rows.dtypes)
+        numbers = spark.createDataFrame([(*c, i) for i, c in enumerate(combos)], ", ".join(f"{k} {types[k]}" for k in keys) + ", _fit int")
+        parts = {}
+        for name, df in (("training", training), ("rows", rows)):
+            df.join(F.broadcast(numbers), keys).select(*df.columns, "_fit").write.partitionBy("_fit").parquet(f"{path}/{name}")
+            schema = T.StructType([*df.schema.fields, T.StructField("_fit", T.IntegerType())])
+            parts[name] = spark.read.schema(schema).parquet(f"{path}/{name}")
+
+        def one(i: int) -> None:
+            at = F.col("_fit") == i
+            out = model(*[parts[name].filter(at).drop("_fit") for name in ("training", "rows")])
+            out.withColumn(PREDICTION, F.col(PREDICTION).cast("double")).coalesce(1).write.parquet(f"{path}/predictions/_part={i}")
+
+        with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+            list(pool.map(one, range(len(combos))))
+        return spark.read.option("basePath", f"{path}/predictions").parquet(f"{path}/predictions/*").drop("_part")
+
+    return run
 
 
 def each_fold(folds: DataFrame, training: DataFrame, inference: DataFrame,
               fit_predict: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """Fit per fold on cached rows. The loop runs over folds; each fit is distributed over rows."""
-    training, inference = training.persist(), inference.persist()
-    out = None
-    for day in fold_days(folds):
-        at = F.col(EVAL) == F.lit(day)
-        part = fit_predict(training.filter(at), inference.filter(at))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Fit and predict every fold, several at a time."""
+    days = folds.select(EVAL)
+    return per_key(fit_predict)(training.join(days, EVAL, "left_semi"), inference.join(days, EVAL, "left_semi"))
 
 
 def gbt_regressor(training: DataFrame, inference: DataFrame, label: str = TARGET, **budget) -> DataFrame:
@@ -217,7 +248,7 @@ def base_column(alias: str) -> str:
     return f"BASE_{alias.upper()}_PREDICTION"
 
 
-def oof_features(training: DataFrame, folds: DataFrame, bases: dict[str, Callable], keys=(EVAL,)) -> DataFrame:
+def oof_features(training: DataFrame, folds: DataFrame, bases: dict[str, Callable], keys=(EVAL,), passthrough=()) -> DataFrame:
     """Base forecasts on validation rows, each fitted on the inner training rows only.
 
     Inner folds become extra keys, so all of them are predicted in one job per base model.
@@ -227,37 +258,32 @@ def oof_features(training: DataFrame, folds: DataFrame, bases: dict[str, Callabl
     rows = training.join(folds, keys)
     fit = rows.filter(F.col(CUTOFF) <= F.col("TRAIN_END"))
     check = rows.filter(F.col(CUTOFF).between(F.col("VALIDATION_START"), F.col("VALIDATION_END")))
-    return base_features(fit, check, bases, inner)
+    return base_features(fit, check, bases, inner, passthrough)
 
 
-def base_features(fit: DataFrame, rows: DataFrame, bases: dict[str, Callable], keys) -> DataFrame:
-    """One column per base forecast, aligned on the row."""
+def base_features(fit: DataFrame, rows: DataFrame, bases: dict[str, Callable], keys, passthrough=()) -> DataFrame:
+    """One column per base forecast and per feature passed through, aligned on the row."""
     index = [*keys, CUTOFF, FORECAST]
-    out = rows.select(*index, TARGET)
+    out = rows.select(*index, TARGET, *passthrough)
     for alias, model in bases.items():
         p = model(fit, rows, keys=tuple(keys)).select(*index, F.col(PREDICTION).alias(base_column(alias)))
         out = out.join(p, index)
     return out
 
 
-def stacking(training: DataFrame, inference: DataFrame, bases: dict[str, Callable], anchor: DataFrame | None = None,
+def stacking(training: DataFrame, inference: DataFrame, bases: dict[str, Callable], passthrough=(),
              alpha: float = 1.0, min_rows: int = 30, **oof) -> DataFrame:
     """Out-of-fold base forecasts train a ridge; refitted bases feed it at the evaluation cutoff.
 
-    With ``anchor`` the anchor's features of the evaluation rows pass through to the result.
+    A base is called as model(fit, rows, keys=...); ``per_key`` makes one of a model of a single fold.
+    ``passthrough`` names features that the ridge is fitted on beside the base forecasts.
     """
     folds = oof_folds(training, **oof)
-    meta = oof_features(training, folds, bases)
+    meta = oof_features(training, folds, bases, passthrough=passthrough)
     enough = meta.groupBy(EVAL).agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_rows).select(EVAL)
     meta = meta.join(enough, EVAL, "left_semi")
-    at_eval = base_features(training, inference, bases, [EVAL])
-    columns = [base_column(a) for a in bases]
-    predicted = ridge(meta, at_eval, columns, alpha)
-    if anchor is not None:
-        from .ensembles import append_passthrough
-
-        predicted = append_passthrough(predicted, anchor)
-    return predicted
+    at_eval = base_features(training, inference, bases, [EVAL], passthrough)
+    return ridge(meta, at_eval, [*[base_column(a) for a in bases], *passthrough], alpha)
 
 
 # --- intervals and user models --------------------------------------------------------------

@@ -16,14 +16,9 @@ _P = ("CUTOFF_DATE", "FORECAST_DATE", "TARGET_AMOUNT", "PREDICTION")
 _BASES = {"naive": M.naive_last_day, "weekly": M.seasonal_naive_weekly, "known": M.known_amount_d1}
 
 
-def _monthly(t):
-    """Every 30th evaluation day: one fit each."""
-    return K.FoldData(t.realized, t.known, EVAL_FROM, EVAL_TO, TRAIN_WINDOW, SPEC, step_days=30).cache()
-
-
 def _fit_each(t, fit):
-    data = _monthly(t)
-    return L.each_fold(data.folds, data.training(), data.inference(), fit).select(*_P)
+    """Every evaluation day: one fit each."""
+    return L.each_fold(t.folds.folds, t.folds.training(), t.folds.inference(), fit).select(*_P)
 
 
 @query("model_gbt_regressor")
@@ -110,7 +105,12 @@ def _(t):
 
 @query("model_stacking")
 def _(t):
-    return L.stacking(t.folds.training(_LAGS), t.folds.inference(), _BASES, **_OOF).select(*_P)
+    training, features = t.folds.training(_RIDGE), ["KNOWN_AMOUNT_D1", "TARGET_ROLLING_MEAN_7"]
+
+    def fitted(fit, rows, keys):
+        return L.ridge(fit, rows, _RIDGE, keys=keys)
+
+    return L.stacking(training, t.folds.inference(), _BASES | {"ridge": fitted}, features, **_OOF).select(*_P)
 
 
 @query("model_quantile_runs")

@@ -193,3 +193,71 @@ def test_bronze_rows_are_numbered_per_file(spark, tmp_path):
     rows = read_bronze(spark, str(tmp_path)).orderBy("_lineage_source_name", "_lineage_source_row_number").collect()
     assert [(r["_lineage_source_name"], r["_lineage_source_row_number"], r["ID"], r["AMOUNT"]) for r in rows] == [
         ("a.csv", 1, "1", "2"), ("a.csv", 2, "2", ""), ("a.csv", 3, "3", "4"), ("b.csv", 1, "9", "7")]
+
+
+# --- rules with gaps, names, fold fits, stacking ---
+
+
+def test_rules_with_gaps(spark):
+    from paytide.operators.series import assign_by_rules
+
+    rows = [("a", "ACME", True, "low", "misc", 5.0), ("b", None, False, "low", "misc", 5.0), ("c", "ACME", True, "high", None, 5000.0),
+            ("d", "OTHER", True, None, "misc", 50.0), ("e", "ACME", True, "low", "misc", None)]
+    tx = spark.createDataFrame(rows, "ID string, company_name string, company_found boolean, amount_bin string, remaining_behavior string, abs_amount double")
+    fields = "priority int, enabled string, series_name string, rule_type string, company_name string, company_found string, amount_bin string, remaining_behavior string, min_abs_amount double, max_abs_amount double"
+
+    def matched(*rules):
+        got = assign_by_rules(tx, spark.createDataFrame(list(rules), fields)).collect()
+        return {r["ID"]: r["series_name"] for r in got}
+
+    for enabled in (None, "true", "True", "1", "yes", "YES"):  # missing values match anything, missing bounds are open
+        assert matched((1, enabled, "s", "t", None, None, None, None, None, None)) == dict(a="s", b="s", c="s", d="s", e=None)
+    assert set(matched((1, "no", "s", "t", None, None, None, None, None, None)).values()) == {None}
+    got = matched((5, "1", "wide", "t", "*", "*", "*", "*", 0.0, None), (3, "1", "acme", "t", "ACME", "*", "*", "*", 0.0, 1000.0), (1, "1", "known", "t", "*", "true", "*", "misc", 10.0, 100.0),
+                  (2, "1", "unknown", "t", "*", "false", "low", "*", None, 6.0))
+    assert got == dict(a="acme", b="unknown", c="wide", d="known", e=None)
+
+
+def test_many_rules_meet_a_row_once(spark):
+    from paytide.operators.series import assign_by_rules
+
+    tx = spark.range(50).select(F.col("id").cast("string").alias("ID"), F.lit("X").alias("company_name"), F.lit(True).alias("company_found"), F.lit("low").alias("amount_bin"), F.col("id").cast("double").alias("abs_amount"))
+    rules = spark.range(12_000).select((12_000 - F.col("id")).cast("int").alias("priority"), F.lit(True).alias("enabled"), F.concat(F.lit("r"), "id").alias("series_name"), F.lit("t").alias("rule_type"),
+                                       F.lit("*").alias("company_name"), F.lit("*").alias("company_found"), F.lit("*").alias("amount_bin"), F.lit("*").alias("remaining_behavior"),
+                                       (F.col("id") / 300).alias("min_abs_amount"), (F.col("id") / 300 + 1).alias("max_abs_amount"))
+    got = assign_by_rules(tx, rules).collect()
+    assert len(got) == 50 and all(int(r["series_name"][1:]) == min(int(r["ID"]) * 300, 11_999) for r in got if float(r["ID"]) < 40)
+
+
+def test_letters_that_decompose(spark):
+    from paytide.functions.text import normalize_text
+
+    got = spark.createDataFrame([("Ơ Ǎ Ế ệ ș ǖ ñ ø",)], "t string").select(normalize_text("t").alias("x")).first()["x"]
+    assert got == "O A E E S U N"
+
+
+def _fold_rows(spark, days=60):
+    rows = [(f, d, float(d % 7) * 10 + f, float(d % 5)) for f in (1, 2) for d in range(days)]
+    df = spark.createDataFrame(rows, "f int, d int, TARGET_AMOUNT double, X double")
+    day = lambda c: F.date_add(F.lit("2000-01-01").cast("date"), c)
+    return df.select(day(F.col("f") + days).alias("EVALUATION_CUTOFF"), day(F.col("d")).alias("CUTOFF_DATE"), day(F.col("d") + 1).alias("FORECAST_DATE"), "TARGET_AMOUNT", "X")
+
+
+def test_folds_are_fitted_apart(spark):
+    from paytide.operators.learners import per_key
+
+    rows = _fold_rows(spark)
+    mean = per_key(lambda fit, ask: ask.withColumn("PREDICTION", F.lit(fit.agg(F.avg("TARGET_AMOUNT")).first()[0])))
+    got = mean(rows, rows).groupBy("EVALUATION_CUTOFF").agg(F.min("PREDICTION").alias("p"), F.max("PREDICTION").alias("q"), F.count("*").alias("n")).orderBy("EVALUATION_CUTOFF").collect()
+    want = rows.groupBy("EVALUATION_CUTOFF").agg(F.avg("TARGET_AMOUNT").alias("m")).orderBy("EVALUATION_CUTOFF").collect()
+    assert [r["n"] for r in got] == [60, 60] and all(abs(g["p"] - w["m"]) < 1e-9 and g["p"] == g["q"] for g, w in zip(got, want, strict=True))
+
+
+def test_passthrough_changes_a_stacked_forecast(spark):
+    from paytide.operators.learners import per_key, stacking
+
+    rows = _fold_rows(spark)
+    ask = rows.filter("CUTOFF_DATE = '2000-01-20'")
+    base = {"mean": per_key(lambda fit, r: r.withColumn("PREDICTION", F.lit(fit.agg(F.avg("TARGET_AMOUNT")).first()[0])))}
+    plain, more = (stacking(rows, ask, base, p, min_rows=5, max_folds=2, min_train=30, validation=7, step=7).orderBy("EVALUATION_CUTOFF").collect() for p in ((), ("X",)))
+    assert len(plain) == len(more) == 2 and all(abs(a["PREDICTION"] - b["PREDICTION"]) > 1e-6 for a, b in zip(plain, more, strict=True))
