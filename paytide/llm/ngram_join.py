@@ -48,6 +48,7 @@ SALTED = 5_000
 MU = 0.0085  # weight of the list length in DivideSkip's choice of L
 SMALL_MERGE = 4_096
 BROADCAST_IDS = 500_000
+CACHED_WORDS = 150_000  # word hashes, and sets seen, that a worker keeps
 
 # Odd multipliers of the five words of a shingle.
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -57,7 +58,7 @@ class _Words(dict):
     """Word -> 64-bit hash; bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) >= CACHED_WORDS:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -232,7 +233,7 @@ def prefixes(texts: DataFrame, counts, salted: int = SALTED) -> DataFrame:
                 node = xxhash.xxh3_64_intdigest(s.tobytes())
                 if node in done:  # a copy adds nothing
                     continue
-                if len(done) > 1_000_000:
+                if len(done) > CACHED_WORDS:
                     done.clear()
                 done.add(node)
                 k = keys_of(s)

@@ -34,7 +34,7 @@ FOLDS = 5
 RIDGE = 0.3
 LEAST_ROWS = 3
 THRESHOLD = 0.5
-CACHED = 400_000
+CACHED = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
