@@ -13,7 +13,7 @@ HEADLINES = (
     "gold_build", "silver_entity_report", "flag_duplicate_ids", "rule_waterfall", "availability_summary",
     "concentration_summary", "operational_timing", "dataset_tabular", "fold_training_set", "rank_runs",
     "model_croston", "regressor_ridge", "score_summary", "exclusion_curve_own", "agg_quantile_exact",
-    "company_profile_daily", "company_profile_events", "series_summary", "join_knn_history",
+    "company_profile_daily", "company_profile_events", "series_summary", "join_knn_history", "assign_by_rules",
 )
 
 

@@ -55,7 +55,8 @@ def per_key(model: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[...,
         numbers = spark.createDataFrame([(*c, i) for i, c in enumerate(combos)], ", ".join(f"{k} {types[k]}" for k in keys) + ", _fit int")
         parts = {}
         for name, df in (("training", training), ("rows", rows)):
-            df.join(F.broadcast(numbers), keys).select(*df.columns, "_fit").write.partitionBy("_fit").parquet(f"{path}/{name}")
+            # rebalance: a small part is one file, a large one is split
+            df.join(F.broadcast(numbers), keys).select(*df.columns, "_fit").hint("rebalance", "_fit").write.partitionBy("_fit").parquet(f"{path}/{name}")
             schema = T.StructType([*df.schema.fields, T.StructField("_fit", T.IntegerType())])
             parts[name] = spark.read.schema(schema).parquet(f"{path}/{name}")
 

@@ -9,10 +9,13 @@ from .gold import TARGET
 from .pointintime import Rescale
 
 TINY = 1e-6
-# Coarse grid of powers, then repeatedly twenty finer steps on each side of the best one.
-POWER_GRID = tuple(round(-5 + 0.25 * i, 2) for i in range(41))
+# Coarse grid of (power, distance to the next one), growing by a quarter beyond 5 either way; then
+# repeatedly twenty finer steps on each side of the best one.
+_OUTER = tuple(5 * 1.25**i for i in range(1, 21))
+POWER_GRID = (tuple((round(-5 + 0.25 * i, 2), 0.25) for i in range(41))
+              + tuple((sign * p, 0.25 * p) for p in _OUTER for sign in (-1, 1)))
 FINER = 20
-REFINEMENTS = 3
+REFINEMENTS = 4
 
 
 def log1p(x: Column) -> Column:
@@ -78,18 +81,19 @@ def fit_power(rows: DataFrame, kind: str, keys=(EVAL,), target: str = TARGET) ->
         stats = stats.withColumns({"SHIFT": shift, "_flat": F.col("_lo") == F.col("_hi")})
     else:
         stats = stats.withColumns({"SHIFT": F.lit(0.0), "_flat": F.lit(False)})
-    stats = stats.withColumn("_p0", F.array(*[F.lit(p) for p in POWER_GRID]))
     data = values.join(stats.select(*keys, "SHIFT"), keys).select(*keys, (F.col("_y") + F.col("SHIFT")).alias("_x"))
     data = data.persist()  # every round reads it again
-    grid, width = stats.select(*keys, F.explode("_p0").alias("_p")), POWER_GRID[1] - POWER_GRID[0]
+    start = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.lit(float(w)).alias("w")) for p, w in POWER_GRID])
+    grid = stats.select(*keys, F.explode(start).alias("_g")).select(*keys, F.col("_g.p").alias("_p"), F.col("_g.w").alias("_w"))
     for round_number in range(REFINEMENTS + 1):
-        scored = data.join(grid, keys).groupBy(*keys, "_p").agg(_log_likelihood(kind, F.col("_p")).alias("_ll"))
-        best = scored.groupBy(*keys).agg(F.max_by("_p", "_ll").alias("_b"))
+        scored = data.join(grid, keys).groupBy(*keys, "_p", "_w").agg(_log_likelihood(kind, F.col("_p")).alias("_ll"))
+        finite = F.when(~F.isnan("_ll") & (F.abs("_ll") < float("inf")), F.col("_ll"))  # far powers overflow
+        best = scored.groupBy(*keys).agg(F.max_by(F.struct("_p", "_w"), finite).alias("_b"))
         if round_number < REFINEMENTS:
-            steps = F.transform(F.sequence(F.lit(-FINER), F.lit(FINER)), lambda i: F.col("_b") + i * F.lit(width / FINER))
-            grid = best.select(*keys, F.explode(steps).alias("_p"))
-            width /= FINER
-    power = F.when(F.col("_flat"), F.lit(None)).otherwise(F.round("_b", 10))
+            finer = F.transform(F.sequence(F.lit(-FINER), F.lit(FINER)), lambda i: F.struct(
+                (F.col("_b._p") + i * F.col("_b._w") / FINER).alias("p"), (F.col("_b._w") / FINER).alias("w")))
+            grid = best.select(*keys, F.explode(finer).alias("_g")).select(*keys, F.col("_g.p").alias("_p"), F.col("_g.w").alias("_w"))
+    power = F.when(F.col("_flat"), F.lit(None)).otherwise(F.round("_b._p", 10))
     return stats.join(best, keys).select(*keys, power.alias("POWER"), "SHIFT")
 
 
