@@ -34,7 +34,8 @@ FOLDS = 5
 RIDGE = 0.3
 LEAST_ROWS = 3
 THRESHOLD = 0.5
-CACHED = 100_000
+#: Tokens that a worker keeps: few of them have features in use, but all have some while these are counted.
+CACHED, CACHED_WHOLE = 250_000, 60_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -57,7 +58,7 @@ class Kept(dict):
         self.ids = ids
 
     def __missing__(self, token: str) -> tuple[int, ...]:
-        if len(self) >= CACHED:
+        if len(self) >= (CACHED_WHOLE if self.ids is None else CACHED):
             self.clear()
         got = features(token)
         value = self[token] = tuple(got) if self.ids is None else tuple(self.ids[f] for f in got if f in self.ids)
