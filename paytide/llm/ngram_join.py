@@ -20,7 +20,8 @@ binary search. That search runs within parts of bounded size, which Spark prepar
    in different components call for more. The sets of such a row meet in the chunk that holds most of
    them; rows of more than LONG_RUN sets are dealt over pairs of chunks.
 
-A frequent key is salted by its count. No pair of linked copies is ever a row: links become
+A frequent key is salted by its count, and all its rows are kept: sets alone with their salt are connected
+over the salts. No pair of linked copies is ever a row: links become
 components (union-find in a cell, then stars over tables).
 """
 from __future__ import annotations
@@ -45,6 +46,8 @@ LONG_RUN = 2_000
 BUCKETS, REPORTED, FREQUENT = 1 << 20, 4_096, 65_536
 #: Sets with one salt of a frequent shingle.
 SALTED = 5_000
+#: Of meta: above this bit is the salt, and this bit says that the key is salted.
+SALT_BIT, SALTED_BIT = 40, 39
 MU = 0.0085  # weight of the list length in DivideSkip's choice of L
 SMALL_MERGE = 4_096
 BROADCAST_IDS = 500_000
@@ -215,8 +218,8 @@ def prefix_lengths(n: int) -> tuple[int, int]:
 
 
 def prefixes(texts: DataFrame, counts, salted: int = SALTED) -> DataFrame:
-    """Rows (h, meta, node) of the key prefix of each distinct set; meta packs salt, size and whether the key is
-    also in the prefix for larger partners (0) or not (1), in this order."""
+    """Rows (h, meta, node) of the key prefix of each distinct set; meta packs salt, whether the key has several
+    salts, size, and whether the key is also in the prefix for larger partners (0) or not (1), in this order."""
     names = ["h", "meta", "node"]
 
     def run(batches):
@@ -244,9 +247,10 @@ def prefixes(texts: DataFrame, counts, salted: int = SALTED) -> DataFrame:
                     k, seen = k[order], seen[order]
                 else:
                     larger = len(k)
-                salt = (np.uint64(node) % (1 + seen // salted).astype(np.uint64)).astype(np.int64)
+                salts = 1 + seen // salted
+                salt = (np.uint64(node) % salts.astype(np.uint64)).astype(np.int64)
                 out[0].append(k.view(np.int64))
-                out[1].append((salt << 40) + 2 * n + (np.arange(len(k)) >= larger))
+                out[1].append((salt << SALT_BIT) + ((salts > 1).astype(np.int64) << SALTED_BIT) + 2 * n + (np.arange(len(k)) >= larger))
                 out[2].append(np.full(len(k), _signed(node), dtype=np.int64))
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=names)
@@ -257,11 +261,12 @@ def prefixes(texts: DataFrame, counts, salted: int = SALTED) -> DataFrame:
 def shared_rows(prefix: DataFrame, parts: int) -> DataFrame:
     """The prefix rows whose shingle more than one set has, with ``prev``: the last earlier set that it may be linked with.
 
+    Of a salted key all rows are kept, since the other sets of the key may have other salts.
     Rows come sorted by key and size; a set can be linked only with one whose ``first`` holds and whose
     size is within the bound, and all those are connected by a chain of ``prev``. State: one row.
     """
     names = ["h", "salt", "node", "n", "prev"]
-    dealt = prefix.repartition(parts, "h", F.shiftright("meta", 40)).sortWithinPartitions("h", "meta", "node")
+    dealt = prefix.repartition(parts, "h", F.shiftright("meta", SALT_BIT)).sortWithinPartitions("h", "meta", "node")
 
     def run(batches):
         carry: list[np.ndarray] | None = None  # the last row, and the last row with ``first`` of its run
@@ -278,14 +283,14 @@ def shared_rows(prefix: DataFrame, parts: int) -> DataFrame:
             copy[1:] = (cols[0][1:] == cols[0][:-1]) & (cols[1][1:] == cols[1][:-1]) & (cols[2][1:] == cols[2][:-1])
             copy[:old] = False
             h, meta, node = cols = [c[~copy] for c in cols]
-            salt, n, first = meta >> 40, (meta & ((1 << 40) - 1)) >> 1, meta & 1 == 0
+            salt, n, first = meta >> SALT_BIT, (meta & ((1 << SALTED_BIT) - 1)) >> 1, meta & 1 == 0
             new = np.r_[True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])]
             at = np.arange(len(h))
             start = np.maximum.accumulate(np.where(new, at, 0))
             last = np.r_[-1, np.maximum.accumulate(np.where(first, at, -1))[:-1]]
             ok = (last >= start) & (100 * n[last] >= PERCENT * n) & (node[last] != node)
             same = np.r_[False, ~new[1:]] | np.r_[~new[1:], False]  # another row of the run is beside it
-            emit = same.copy()
+            emit = same | (meta >> SALTED_BIT & 1 == 1)
             emit[:old] = False
             if carry is not None and not flag and len(h) > old and not new[old]:
                 emit[old - 1] = True  # the carried row turned out to have company

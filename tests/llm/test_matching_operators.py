@@ -69,6 +69,15 @@ def test_join_equals_all_pairs(spark, limit, long_run, salted):
     assert all(r["n_shingles"] == len(_shingles(rows[r["doc_id"]][1])) for r in got)
 
 
+def test_near_copies_of_a_text_with_many_exact_copies(spark):
+    base = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(base)) for i in range(60)]
+    rows += [(60 + k, " ".join([*base[:at], f"new{k}", *base[at + 1:]])) for k, at in enumerate((20, 150, 270))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = ngram_join.join_components(docs, salted=5).collect()
+    assert len(got) == len(rows) and {r["component_id"] for r in got} == {0}
+
+
 def test_join_of_odd_texts(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "a b c"), (5, "A  b\tC"), (6, "a b c d"), (7, "x y z " * 3000), (8, "x y z " * 3001), (None, "a b c"),
             (9, "one two three four five six"), (9, "a b c"), (10, "one two three four five six")]
