@@ -13,12 +13,14 @@ binary search. That search runs within parts of bounded size, which Spark prepar
    A passage that many documents hold hardly gives shared pairs, unlike single shingles. Rows of (key,
    set), grouped by key, connect all sets that can be linked. Frequent keys are counted approximately:
    the count decides their place in the order and their salt, not the result.
-3. Connected sets form blocks; small blocks share a cell, blocks over LIMIT shingles are cut into chunks.
-   The whole sets of a cell are brought together once and searched.
+3. Connected sets form blocks; small blocks share a cell, blocks over LIMIT shingles are cut into chunks
+   by a key of each set, and chunks over LIMIT (near copies of one text have that key in common) again by
+   the set. The whole sets of a cell are brought together once and searched.
 4. For cut blocks: one set of each component found in a chunk is searched against the others of the block,
    which joins groups of copies that lie in many chunks; after that, only prefix rows whose sets are still
    in different components call for more. The sets of such a row meet in the chunk that holds most of
-   them; rows of more than LONG_RUN sets are dealt over pairs of chunks.
+   them; rows of more than LONG_RUN sets, and those of a chunk whose rows hold over LIMIT shingles, are
+   dealt over pairs of chunks, so that a part holds two chunks at most.
 
 A frequent key is salted by its count, and all its rows are kept: sets alone with their salt are connected
 over the salts. No pair of linked copies is ever a row: links become
@@ -404,6 +406,14 @@ def join_components(docs: DataFrame, text: str = "text", key: str = "doc_id", li
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("_c", "class_id", "id").alias("component_id"), "class_id")
 
 
+def _bounded(placed: DataFrame, limit: int) -> DataFrame:
+    """``placed`` with chunks of more than ``limit`` shingles dealt by the hash of the set, half full on average."""
+    sums = placed.filter("cut").groupBy("part").agg(F.sum("n").alias("_total")).filter(F.col("_total") > limit)
+    over = written(sums.select("part", F.ceil(2 * F.col("_total") / limit).alias("_k")), "full-chunks")
+    dealt = F.xxhash64("part", F.pmod(F.xxhash64("id", F.lit("chunk")), "_k"))
+    return placed.join(over, "part", "left").withColumn("part", F.when(F.col("_k").isNotNull(), dealt).otherwise(F.col("part"))).drop("_k")
+
+
 def _find(texts: DataFrame, shared: DataFrame, classes: DataFrame, limit: int, long_run: int) -> DataFrame:
     """Links between classes that span all components."""
     edges = shared.filter("prev IS NOT NULL").select(F.col("node").alias("a"), F.col("prev").alias("b"))
@@ -425,6 +435,7 @@ def _find(texts: DataFrame, shared: DataFrame, classes: DataFrame, limit: int, l
     total = sizes.agg(F.sum("total")).first()[0] or 0
     cells = max(1, -(-4 * total // limit))
     placed = written(sets.join(sizes, "block").join(anchor, "node").select("node", "id", "n", "block", (cut > 1).alias("cut"), chunk.alias("part")), "chunks")
+    placed = _bounded(placed, limit)
     cell = F.when(F.col("cut"), F.col("part")).otherwise(F.pmod(F.xxhash64("block"), F.lit(cells)))
     links = search_cells(texts, placed.select("id", cell.alias("cell"), "part", F.col("id").alias("label")))
 
@@ -440,15 +451,19 @@ def _find(texts: DataFrame, shared: DataFrame, classes: DataFrame, limit: int, l
     labelled = written(_labels(several, links), "labels")
 
     # Prefix rows whose sets are still in different components.
-    runs = shared.select("h", "node").join(labelled.select("node", "id", "part", "label"), "node")
+    runs = shared.select("h", "node").join(labelled.select("node", "id", "n", "part", "label"), "node")
     live = runs.groupBy("h").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("size")).filter("a <> b").select("h", "size")
     runs = written(runs.join(live, "h"), "live-runs")
     if runs.isEmpty():
         return links
     each = runs.groupBy("h", "part").agg(F.count("*").alias("k"))
     home = each.groupBy("h").agg(F.max(F.struct("k", "part")).alias("x")).select("h", F.col("x.part").alias("home"))
-    short = runs.filter(F.col("size") <= long_run).join(home, "h").select("id", "label", F.xxhash64("home", F.lit("home")).alias("part"))
-    grid = each.join(runs.filter(F.col("size") > long_run).select("h").distinct(), "h", "left_semi").select("h", F.col("part").alias("other"))
-    wide = runs.filter(F.col("size") > long_run).join(grid, "h").select("id", "label", F.xxhash64(F.least("part", "other"), F.greatest("part", "other")).alias("part"))
+    at_home = runs.filter(F.col("size") <= long_run).join(home, "h")
+    crowded = at_home.select("home", "id", "n").distinct().groupBy("home").agg(F.sum("n").alias("total")).filter(F.col("total") > limit).select("home")
+    crowded = written(crowded, "crowded-homes")
+    short = at_home.join(crowded, "home", "left_anti").select("id", "label", F.xxhash64("home", F.lit("home")).alias("part"))
+    dealt = runs.filter(F.col("size") > long_run).select("h").union(home.join(crowded, "home", "left_semi").select("h")).distinct()
+    grid = each.join(dealt, "h", "left_semi").select("h", F.col("part").alias("other"))
+    wide = runs.join(grid, "h").select("id", "label", F.xxhash64(F.least("part", "other"), F.greatest("part", "other")).alias("part"))
     meet = written(short.union(wide).distinct(), "meetings")
     return links.union(search_cells(texts, meet.select("id", F.col("part").alias("cell"), "part", "label")))

@@ -78,6 +78,31 @@ def test_near_copies_of_a_text_with_many_exact_copies(spark):
     assert len(got) == len(rows) and {r["component_id"] for r in got} == {0}
 
 
+def test_cells_of_one_large_group_are_bounded(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(200):  # variants of one text: linked by chains only
+        ws = [f"w{k}" for k in range(100)]
+        for at in rng.integers(100, size=i % 4):
+            ws[at] = f"new{rng.integers(40)}"
+        rows.append((i, " ".join(ws)))
+    limit, largest, search_cells = 2_000, [], ngram_join.search_cells
+
+    def watched(texts, members):
+        cells = {}
+        for r in members.select("cell", "id").distinct().collect():
+            cells[r["cell"]] = cells.get(r["cell"], 0) + len(_shingles(rows[r["id"]][1]))
+        largest.append(max(cells.values(), default=0))
+        return search_cells(texts, members)
+
+    monkeypatch.setattr(ngram_join, "search_cells", watched)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for long_run in (2_000, 4):
+        got = ngram_join.join_components(docs, limit=limit, long_run=long_run).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == _components(rows)
+    assert max(largest) <= 2 * limit, largest
+
+
 def test_join_of_odd_texts(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "a b c"), (5, "A  b\tC"), (6, "a b c d"), (7, "x y z " * 3000), (8, "x y z " * 3001), (None, "a b c"),
             (9, "one two three four five six"), (9, "a b c"), (10, "one two three four five six")]
