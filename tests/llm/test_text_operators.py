@@ -165,3 +165,28 @@ def test_license_forms(spark):
     assert got[3][0]["text_digest"] is None and got[4][0]["text_digest"] is None and got[5][0]["license_id"] is None and got[6][0]["license_id"] is None
     assert [r["license_id"] for r in got[7]] == ["spdx:MIT"] * 2 and got[None][0]["license_id"] == "notice:CC-BY-4.0"
     assert licenses.scan(docs.filter("false"), licenses.known(spark)).count() == 0
+
+
+def test_license_files(spark):
+    end = """
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
+LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR
+OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+PERFORMANCE OF THIS SOFTWARE.
+"""
+    grant = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted"
+    isc = f"{grant}, provided that the above\ncopyright notice and this permission notice appear in all copies.\n{end}"
+    mit, bsd2, bsd3 = (licenses.LICENSES[k].replace("above copyright", "above\ncopyright").replace("OR COPYRIGHT", "OR\nCOPYRIGHT") for k in ("MIT", "BSD-2-Clause", "BSD-3-Clause"))
+    apache = licenses.full_texts()["Apache-2.0"]
+    texts = [("ISC", f"ISC License\n\nCopyright (c) 2020, Some Body\n\n{isc}"), ("ISC", f"Copyright 2020 Some Body\n\n{isc}"), ("ISC", isc),
+             ("0BSD", f"Zero-Clause BSD\n\n{grant}.\n{end}"), ("MIT", f"MIT License\n\nCopyright (c) [year] [fullname]\n\n{mit}"),
+             ("MIT", f"The MIT License (MIT)\n\nCopyright The Some Authors\nAll rights reserved.\n\n{mit}"), ("BSD-2-Clause", f"BSD 2-Clause License\n\n© Some Body\n{bsd2}"),
+             ("BSD-3-Clause", f"BSD 3-Clause \"New\" or \"Revised\" License\n\n(c) Some Body\n\n{bsd3}"), ("Apache-2.0", " ".join(apache.split("\n   "))),
+             (None, "MIT License"), (None, f"Some other words\n{isc}"), *[(k, v) for k, v in licenses.full_texts().items()]]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scan(docs, licenses.known(spark)).collect()}
+    assert got == {i: k for i, (k, _) in enumerate(texts)}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense"} <= set(got.values())
