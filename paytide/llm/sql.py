@@ -2,6 +2,8 @@
 from __future__ import annotations
 
 from .decontam import THRESHOLD
+from .filter_audit import MAX_CAPITALS, MIN_DISTINCT
+from .filter_audit import MIN_WORDS as MIN_FILTER_WORDS
 from .license_texts import LICENSES
 from .licenses import COPYRIGHT, EQUIVALENT
 from .quality import CLASSES, COMMON, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MIN_CLASS_CHARS, MIN_WORDS
@@ -118,3 +120,75 @@ hit AS (SELECT doc_id, item_id, count(*) AS n_shared FROM q JOIN d USING (s) GRO
 SELECT doc_id, item_id, n_shared::BIGINT AS n_shared, n_item::BIGINT AS n_item FROM hit JOIN n USING (item_id)
 WHERE 100 * n_shared >= {THRESHOLD} * n_item
 """
+
+_PERMS = "SELECT concat(a.l, b.l, c.l, d.l, e.l) AS filter_order FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5"
+_AT = "least({})".format(", ".join(f"CASE WHEN {x} THEN strpos(filter_order, '{x.upper()}') ELSE 6 END" for x in "abcde"))
+
+ORACLES["op12_filter_audit"] = rf"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {_WORDS} AS ws FROM documents),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT doc_id, part, len(ws) < {MIN_FILTER_WORDS} AS a, 100 * len(list_distinct(ws)) < {MIN_DISTINCT} * len(ws) AS b,
+  100 * ({_chars('text', '[A-Z]')}) > {MAX_CAPITALS} * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d,
+  coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e FROM t),
+w AS (SELECT part, a, b, c, d, e, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY ALL),
+f(l) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')), p AS ({_PERMS}), s(step) AS (SELECT unnest(range(1, 6))),
+x AS (SELECT w.*, filter_order, {_AT} AS out_at FROM w, p),
+y AS (SELECT x.*, step, substr(filter_order, step, 1) AS l, CASE l WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END AS fails FROM x, s),
+g AS (SELECT part, filter_order, step::INT AS step, l, sum(CASE WHEN out_at > step THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN out_at = step THEN n ELSE 0 END)::BIGINT AS removed,
+  sum(CASE WHEN fails AND out_at < step THEN n ELSE 0 END)::BIGINT AS redundant,
+  sum(CASE WHEN fails AND a::INT + b::INT + c::INT + d::INT + e::INT = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+  sum(CASE WHEN out_at = step THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN out_at = step THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM y GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, l))::BIGINT AS shapley FROM g
+"""
+
+_NEVER = "{{'c': 999999999, 'a': '', 't': CAST([] AS VARCHAR[])}}"
+
+
+def _edit(frm: str, letter: str, cost: str, turn: str | None, when: str = "true") -> str:
+    turns = f"{frm}.t" if turn is None else f"list_append({frm}.t, {turn})"
+    return f"CASE WHEN {when} THEN {{'c': {frm}.c + {cost}, 'a': {frm}.a || '{letter}', 't': {turns}}} ELSE {_NEVER.format()} END"
+
+
+def _states() -> str:
+    """The four states after a turn, from those before it (without insertions after it)."""
+    keep, user, bot = "role || ':' || text", "'user:' || text", "'assistant:' || text"
+    gone = [_edit(f"s{i}", "D", "4", None) for i in range(4)]
+    stays = "NOT gone"
+    to_1 = [gone[1], _edit("s0", "K", "extra", keep, f"{stays} AND initial = 's'")]
+    to_2 = [gone[2]] + [e for i in (0, 1, 3) for e in (_edit(f"s{i}", "K", "extra", keep, f"{stays} AND initial = 'u'"), _edit(f"s{i}", "R", "3 + extra", user, stays))]
+    to_3 = [gone[3], _edit("s2", "K", "extra", keep, f"{stays} AND initial = 'a'"), _edit("s2", "R", "3 + extra", bot, stays)]
+    return ", ".join(f"list_min([{', '.join(c)}]) AS s{i}" for i, c in enumerate(([gone[0]], to_1, to_2, to_3)))
+
+
+def _inserted(source: str, keys: str) -> str:
+    """The same states after insertions."""
+    two = f"list_min([s2, {', '.join(_edit(f's{i}', 'I', '3', chr(39) + 'user:' + chr(39)) for i in (0, 1, 3))}])"
+    return f"SELECT {keys}, s0, s1, s2, list_min([s3, {_edit('s2', 'I', '3', chr(39) + 'assistant:' + chr(39))}]) AS s3 FROM (SELECT * REPLACE ({two} AS s2) FROM ({source}))"
+
+
+_BITS = "list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda h, z: xor(h >> 1, (h & 1) * 3988292384))"
+_CRC = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(place, ''), lambda x: ascii(x)::BIGINT)), lambda c, x: {_BITS}), 4294967295)"
+
+ORACLES["op11_conversation_repair"] = rf"""
+WITH RECURSIVE src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' ')) AS place FROM conversations),
+dmg AS (SELECT *, {_CRC} % 20 AS d FROM src),
+rows AS (SELECT conv_id, turn, CASE d WHEN 4 THEN 'user' ELSE role END AS role,
+  CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE d WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM dmg WHERE d <> 0),
+num AS (SELECT *, row_number() OVER o AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+  lag(role[1]) OVER o || role[1] AS pair FROM rows WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+flt AS (SELECT *, role[1] AS initial, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN again THEN 'duplicate'
+  WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' ELSE '' END AS fault FROM num),
+cod AS (SELECT *, fault IN ('blank', 'duplicate') AS gone, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END AS extra FROM flt),
+dp AS ({_inserted(f"SELECT DISTINCT conv_id, 0::BIGINT AS i, {{'c': 0, 'a': '', 't': CAST([] AS VARCHAR[])}} AS s0, {_NEVER.format()} AS s1, {_NEVER.format()} AS s2, {_NEVER.format()} AS s3 FROM conversations", "conv_id, i")}
+  UNION ALL {_inserted(f"SELECT dp.conv_id, cod.i, {_states()} FROM dp JOIN cod ON dp.conv_id IS NOT DISTINCT FROM cod.conv_id AND cod.i = dp.i + 1", "conv_id, i")}),
+fin AS (SELECT conv_id, list_min([s0, s3]) AS best FROM dp QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+cnt AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+  count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM cod GROUP BY conv_id)
+SELECT fin.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, best.c::BIGINT AS cost, best.a AS audit,
+  sha256(array_to_string(best.t, chr(10))) AS repaired_sha256
+FROM fin LEFT JOIN cnt ON fin.conv_id IS NOT DISTINCT FROM cnt.conv_id
+"""
