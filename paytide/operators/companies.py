@@ -377,34 +377,33 @@ def transaction_features(tx: DataFrame, low: Column, high: Column) -> DataFrame:
 
 def event_profile(tx: DataFrame, keys, quantiles: dict[str, float], amount: str = "abs_amount",
                   positive_days: bool = True) -> DataFrame:
-    """Payment-level and day-level measures per key, no calendar needed."""
+    """Payment-level and day-level measures per key, no calendar needed.
+
+    The rows are summed per (key, day) once and everything but the row quantiles follows from the days,
+    so no distinct counts over rows are needed. ``positive_days``: day measures skip days without amount.
+    """
     keys = list(keys)
     a = F.col(amount)
-    base = tx.groupBy(*keys).agg(
-        F.count("*").alias("n_rows"),
-        F.countDistinct(VALUE).alias("n_active_days"),
-        F.sum("amount").alias("total_amount"),
-        F.sum(a).alias("total_abs_amount"),
-        F.avg(a).alias("mean_abs_amount"),
-        F.max(a).alias("max_abs_amount"),
-        F.min(VALUE).alias("first_date"),
-        F.max(VALUE).alias("last_date"),
-        F.avg(month_end(VALUE).cast("double")).alias("month_end_share"),
-        F.avg(month_start(VALUE).cast("double")).alias("month_start_share"),
-        T.hhi(a).alias("payment_abs_hhi"),
-        T.class_counts(F.weekday(VALUE), T.WEEKDAYS).alias("_dow"),
-        T.class_counts(F.day(VALUE), T.MONTH_DAYS).alias("_dom"),
-    )
-    daily = tx.groupBy(*keys, VALUE).agg(F.sum(a).alias("_y"))
-    daily = daily.filter("_y > 0") if positive_days else daily
-    daily = T.with_gaps(daily, keys, VALUE)
-    y = F.col("_y")
-    by_day = daily.groupBy(*keys).agg(
+    daily = tx.groupBy(*keys, VALUE).agg(
+        F.count("*").alias("_n"), F.count(a).alias("_na"), F.sum(a).alias("_y"), F.sum("amount").alias("_t"), F.sum(a * a).alias("_s"), F.max(a).alias("_m"))
+    day = F.when(F.col("_y") > 0, F.col(VALUE)) if positive_days else F.col(VALUE)
+    y = F.when(F.col("_y") > 0, F.col("_y")) if positive_days else F.col("_y")
+    before = Window.partitionBy(*keys).orderBy(VALUE).rowsBetween(Window.unboundedPreceding, -1)  # the days of a key
+    daily = daily.withColumn("GAP", F.datediff(day, F.last(day, ignorenulls=True).over(before)))
+    n, total = F.col("_n"), F.sum("_y")
+    share = lambda flag: F.sum(F.when(flag, n).otherwise(0)) / F.sum(n)
+    counts = lambda value, classes: F.array(*[F.sum(F.when(value == c, n).otherwise(0)) for c in classes])
+    base = daily.groupBy(*keys).agg(
+        F.sum(n).alias("n_rows"), F.count(VALUE).alias("n_active_days"), F.sum("_t").alias("total_amount"), total.alias("total_abs_amount"),
+        (total / F.sum("_na")).alias("mean_abs_amount"), F.max("_m").alias("max_abs_amount"), F.min(VALUE).alias("first_date"), F.max(VALUE).alias("last_date"),
+        share(month_end(VALUE)).alias("month_end_share"), share(month_start(VALUE)).alias("month_start_share"),
+        F.when(total != 0, F.sum("_s") / F.pow(total, F.lit(2.0))).alias("payment_abs_hhi"),
+        counts(F.weekday(VALUE), T.WEEKDAYS).alias("_dow"), counts(F.day(VALUE), T.MONTH_DAYS).alias("_dom"),
         F.avg(y).alias("mean_daily_abs_amount"), F.percentile(y, 0.5).alias("median_daily_abs_amount"),
         F.stddev_samp(y).alias("std_daily_abs_amount"), F.max(y).alias("max_daily_abs_amount"),
         T.cv2(y).alias("cv2_daily_abs_amount"), *T.gap_columns(),
     )
-    out = attach(attach(base, by_day, keys), exact_quantiles(tx, amount, quantiles, keys), keys)
+    out = attach(base, exact_quantiles(tx, amount, quantiles, keys), keys)
     return out.withColumns(
         {
             "dow_entropy": T.entropy_of_counts(F.col("_dow")),
@@ -464,10 +463,8 @@ SCORE_WEIGHTS = {"rank_amount_pct": 0.45, "rank_rows_pct": 0.25, "rank_active_da
 def selection_score(profile: DataFrame, behavior: str, keys=()) -> DataFrame:
     """Weighted average-tie percent ranks, recency and regularity as ``score``."""
     keys = list(keys)
-    # One row per company from here on; the checkpoint cuts the long plan behind the profile,
-    # which the ranks below read several times.
-    ensure_checkpoint_dir(profile.sparkSession)
-    profile = profile.withColumn("_amount", F.round("total_abs_amount", 6)).checkpoint()
+    # The profile has one row per company and is read several times: hand in a written layer.
+    profile = profile.withColumn("_amount", F.round("total_abs_amount", 6))
     names = {"_amount": "rank_amount_pct", "n_rows": "rank_rows_pct", "n_active_days": "rank_active_days_pct"}
     ranked = percent_ranks(profile, names, keys)
     longest = F.greatest(profile.agg(F.max("days_since_last").cast("double")).scalar(), F.lit(1.0))
@@ -480,7 +477,7 @@ def selection_score(profile: DataFrame, behavior: str, keys=()) -> DataFrame:
     score = F.lit(0.0)
     for name, weight in SCORE_WEIGHTS.items():
         score = score + weight * F.coalesce(F.col(name), F.lit(0.0))
-    return ranked.withColumn("score", F.round(score, 12)).checkpoint()
+    return ranked.withColumn("score", F.round(score, 12))
 
 
 def company_profile_events(tx: DataFrame) -> DataFrame:
@@ -495,7 +492,7 @@ def company_profile_events(tx: DataFrame) -> DataFrame:
         }
     )
     p = p.withColumn("behavior_group", behavior_class())
-    total = p.agg(F.sum("total_abs_amount")).scalar()
+    total = known.agg(F.sum("abs_amount")).scalar()
     return p.withColumn("share_total_abs", F.when(total != 0, F.col("total_abs_amount") / total))
 
 
@@ -589,8 +586,8 @@ def regime_profile(tx: DataFrame) -> DataFrame:
         }
     ).withColumn("sbc_label", sbc_label("adi", "cv2_daily_abs_amount"))
     p = p.withColumn("behavior_label", behavior_class("regime"))
-    split = p.groupBy("amount_regime").agg(F.sum("total_abs_amount").alias("_s"))
-    total = p.agg(F.sum("total_abs_amount")).scalar()
+    split = tx.groupBy("amount_regime").agg(F.sum("abs_amount").alias("_s"))  # two regimes
+    total = tx.agg(F.sum("abs_amount")).scalar()
     p = attach(p, split, ["amount_regime"])
     ratio = lambda d: F.when(d != 0, F.col("total_abs_amount") / d)
     return p.withColumns({"share_total_abs": ratio(total), "share_split_abs": ratio(F.col("_s"))}).drop("_s")

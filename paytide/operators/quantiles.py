@@ -60,9 +60,30 @@ def attach(df: DataFrame, small: DataFrame, keys=()) -> DataFrame:
     return df.join(renamed, on, "left").drop(*[f"_k_{k}" for k in keys])
 
 
-def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], keys=()) -> DataFrame:
-    """Linearly interpolated quantiles per key: {column name: probability}."""
-    ranked = cumulative_by_value(df, value, {"_rows": F.count(F.lit(1))}, keys).withColumnRenamed("_rows_ALL", "_total")
+#: Distinct values of a key that one aggregation buffer may hold.
+BUFFERED = 100_000
+
+
+def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], keys=(), buffered: int = BUFFERED) -> DataFrame:
+    """Linearly interpolated quantiles per key: {column name: probability}.
+
+    Equal values are counted first. A key of at most ``buffered`` distinct values is one aggregate over its
+    counts; larger keys go through the ranges.
+    """
+    keys = list(keys)
+    if not keys:
+        return _ranged_quantiles(df, value, F.count(F.lit(1)), quantiles, keys)
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    large = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).filter(F.col("_d") > buffered)
+    marked = attach(counted, large, keys)
+    at = F.percentile(value, F.array(*[F.lit(float(q)) for q in quantiles.values()]), F.col("_n"))
+    small = marked.filter("_d IS NULL").groupBy(*keys).agg(at.alias("_q"))
+    small = small.select(*keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(quantiles)])
+    return small.unionByName(_ranged_quantiles(marked.filter("_d IS NOT NULL"), value, F.sum("_n"), quantiles, keys))
+
+
+def _ranged_quantiles(df: DataFrame, value: str, rows: Column, quantiles: dict[str, float], keys: list[str]) -> DataFrame:
+    ranked = cumulative_by_value(df, value, {"_rows": rows}, keys).withColumnRenamed("_rows_ALL", "_total")
     out = []
     for name, q in quantiles.items():
         position = F.lit(float(q)) * (F.col("_total") - 1)
@@ -78,14 +99,18 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], keys
 def percent_ranks(df: DataFrame, names: dict[str, str], keys=()) -> DataFrame:
     """Average-tie percent ranks (largest = 1) as new columns: {column: rank column}.
 
-    Every rank is taken from the table itself and not from the previous result, which keeps the
-    plan linear in the number of ranks.
+    The values of all columns are ranked in one pass over a long table keyed by the column's name.
     """
+    keys = list(keys)
+    pairs = F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in names])
+    long = df.select(*keys, F.explode(pairs).alias("_p")).select(*keys, "_p._c", "_p._v")
+    ranked = cumulative_by_value(long, "_v", {"_rows": F.count(F.lit(1))}, [*keys, "_c"])
+    rank = (F.col("_rows_BEFORE") + (F.col("_rows") + 1) / 2) / F.col("_rows_ALL")
+    ranked = ranked.select(*keys, "_c", "_v", rank.alias("_r"))
     out = df
     for value, name in names.items():
-        ranked = cumulative_by_value(df, value, {"_rows": F.count(F.lit(1))}, keys)
-        rank = (F.col("_rows_BEFORE") + (F.col("_rows") + 1) / 2) / F.col("_rows_ALL")
-        out = attach(out, ranked.select(*keys, value, rank.alias(name)), [*keys, value])
+        own = ranked.filter(F.col("_c") == value).select(*keys, F.col("_v").alias("_value"), F.col("_r").alias(name))
+        out = attach(out.withColumn("_value", F.col(value).cast("double")), own, [*keys, "_value"]).drop("_value")
     return out
 
 

@@ -16,6 +16,7 @@ from .companies import (
 )
 from .gold import VALUE
 from .quantiles import attach, exact_quantiles, weighted_quantiles
+from ..sources.layers import Layers
 from .relational import densify, string_sample, wide_table
 
 INF = float("inf")
@@ -281,7 +282,7 @@ def _bin_bounds(label: Column) -> tuple[Column, Column]:
 def suggest_company_rules(tx: DataFrame, selected: DataFrame, min_rows: int = 5, min_days: int = 3, min_share: float = 0.05,
                           min_bins: int = 2) -> DataFrame:
     """One series per selected company, or one per amount bin when enough bins carry weight."""
-    rows = tx.join(F.broadcast(selected.select("company_name", "position")), "company_name")
+    rows = tx.join(selected.select("company_name", "position"), "company_name")
     by_bin = rows.groupBy("company_name", "position", "amount_bin").agg(
         F.count("*").alias("n_rows"), F.countDistinct(VALUE).alias("n_active_days"), F.sum("abs_amount").alias("_a"))
     company = Window.partitionBy("company_name")  # four bins at most
@@ -399,12 +400,18 @@ def assign_by_rules(tx: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def assigned_summary(assigned: DataFrame) -> DataFrame:
-    out = assigned.groupBy("series_name", "matched_rule_type").agg(
-        F.count("*").alias("rows"), F.countDistinct(VALUE).alias("active_days"), F.sum("amount").alias("total_amount"),
-        F.sum("abs_amount").alias("total_abs_amount"), F.countDistinct("company_key").alias("companies"),
+    """Rows, days, amounts and companies per series, and its share of the whole amount.
+
+    Rows are summed per (series, company, day) before anything distinct is counted. The total is that of the
+    grouped sums: one row per rule, so its window is small.
+    """
+    keys = ["series_name", "matched_rule_type"]
+    daily = assigned.groupBy(*keys, "company_key", VALUE).agg(F.count("*").alias("_n"), F.sum("amount").alias("_t"), F.sum("abs_amount").alias("_a"))
+    out = daily.groupBy(*keys).agg(
+        F.sum("_n").alias("rows"), F.countDistinct(VALUE).alias("active_days"), F.sum("_t").alias("total_amount"),
+        F.sum("_a").alias("total_abs_amount"), F.countDistinct("company_key").alias("companies"),
         F.min(VALUE).alias("first_date"), F.max(VALUE).alias("last_date"))
-    total = assigned.agg(F.sum("abs_amount")).scalar()
-    return out.withColumn("share_total_abs", F.col("total_abs_amount") / total)
+    return out.withColumn("share_total_abs", F.col("total_abs_amount") / F.sum("total_abs_amount").over(Window.partitionBy()))
 
 
 # --- series by regime ----------------------------------------------------------------------
@@ -511,8 +518,9 @@ def scenario_summary(tx: DataFrame, profile: DataFrame, name: str, under: int, o
 
 def scenario_compare(df: DataFrame, scenarios=None) -> DataFrame:
     """The same rows under several configurations; rows and profiles are prepared once."""
-    tx = prepare_transactions(df).persist()
-    profile = regime_profile(tx).persist()
+    layers = Layers(df.sparkSession, "scenarios")
+    tx = layers.get("tx", lambda: prepare_transactions(df))
+    profile = layers.get("profile", lambda: regime_profile(tx))
     out = None
     for name, (under, over, total) in (scenarios or SCENARIOS).items():
         part = scenario_summary(tx, profile, name, under, over, total)

@@ -321,8 +321,8 @@ def _(t):
 
 
 def _remaining(t):
-    marked = R.remaining_behavior(t.tx, t.company_events)
-    return marked, marked.join(F.broadcast(_selected(t)), "company_name", "left_anti")
+    marked = t.layers.get("marked", lambda: R.remaining_behavior(t.tx, t.company_events))
+    return marked, marked.join(_selected(t), "company_name", "left_anti")
 
 
 @query("remaining_behavior", "SELECT ID, company_behavior, company_status, remaining_behavior, remaining_group FROM remaining_rows")
@@ -336,7 +336,7 @@ def _(t):
 
 
 def _remaining_rules(t):
-    return R.suggest_remaining_rules(R.remaining_coverage(_remaining(t)[1]))
+    return R.suggest_remaining_rules(t.layers.get("coverage", lambda: R.remaining_coverage(_remaining(t)[1])))
 
 
 @query("suggest_remaining_rules", "SELECT priority, series_name, CAST(company_found AS STRING) AS company_found, amount_bin, remaining_behavior FROM remaining_rules", ints="priority")
@@ -345,7 +345,7 @@ def _(t):
 
 
 def _assigned(t):
-    rules = _company_rules(t).unionByName(_remaining_rules(t))
+    rules = t.layers.get("rules", lambda: _company_rules(t).unionByName(_remaining_rules(t)))
     return R.assign_by_rules(_remaining(t)[0].drop("company_behavior", "company_status", "remaining_group"), rules)
 
 
@@ -364,7 +364,7 @@ def _(t):
 
 
 def _series_rows(t):
-    return R.assign_series_ids(t.prepared, _own(t)).persist()  # its summaries read it several times
+    return t.layers.get("series_rows", lambda: R.assign_series_ids(t.prepared, _own(t)))  # its summaries read it several times
 
 
 @query("assign_series_ids", "SELECT ID, initial_series_id, series_id, series_type FROM series_rows")

@@ -16,6 +16,7 @@ from ..operators.pointintime import FeatureSpec, dataset_build, gold_calendar_bo
 from ..operators.rules import ColumnRule, Ruleset
 from ..operators.series import add_band_columns
 from ..schema import TableShape, movement_shape
+from ..sources.layers import Layers
 from .oracle import CTES
 
 RULESET = Ruleset(
@@ -37,6 +38,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self.layers = Layers(spark, "series-layers")
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -142,11 +144,11 @@ class Tables:
 
     @cached_property
     def tx(self) -> DataFrame:
-        """Cleaned movement extract of all movement types; one account has no company text."""
+        """Cleaned movement extract of all movement types, a written layer; one account has no company text."""
         kept = self.movements.select("ID", "TRADE_DATE", "VALUE_DATE", "AMOUNT", "ENTITY_SHORTNAME", "CURRENCY_SHORTNAME",
                                      "CASH_MOVEMENT_TYPE_SHORTNAME", "ACCOUNT_SHORTNAME", "DESCRIPTION", "SIGNED_AMOUNT")
         text = F.when(F.col("ACCOUNT_SHORTNAME") == "Brand#7", "123/45").otherwise(F.col("DESCRIPTION"))
-        return clean_movement_extract(kept.withColumn("DESCRIPTION", text)).persist()
+        return self.layers.get("tx", lambda: clean_movement_extract(kept.withColumn("DESCRIPTION", text)))
 
     @cached_property
     def tx_span(self):
@@ -161,26 +163,26 @@ class Tables:
     @cached_property
     def prepared(self) -> DataFrame:
         """Regimes split at 50,000, since fixture amounts stay below 100,000."""
-        return prepare_transactions(self.tx, threshold=50_000.0)
+        return self.layers.get("prepared", lambda: prepare_transactions(self.tx, threshold=50_000.0))
 
     @cached_property
     def regime_profile(self) -> DataFrame:
-        return regime_profile(self.prepared).persist()
+        return self.layers.get("regime_profile", lambda: regime_profile(self.prepared))
 
     @cached_property
     def company_events(self) -> DataFrame:
-        return company_profile_events(self.tx).persist()
+        return self.layers.get("company_events", lambda: company_profile_events(self.tx))
 
     @cached_property
     def selected(self) -> DataFrame:
         """Selected companies with their position; at most the selection budget of rows."""
         chosen = select_companies(self.company_events).filter("is_selected_company")
         order = Window.orderBy(F.desc("company_score"), F.desc("total_abs_amount"), F.desc("n_rows"), "company_name")
-        return chosen.select("company_name", F.row_number().over(order).alias("position")).persist()
+        return self.layers.get("selected", lambda: chosen.select("company_name", F.row_number().over(order).alias("position")))
 
     @cached_property
     def own_series(self) -> DataFrame:
-        return select_own_series(self.regime_profile).persist()
+        return self.layers.get("own_series", lambda: select_own_series(self.regime_profile))
 
     @cached_property
     def all_rows(self) -> DataFrame:

@@ -2,9 +2,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.parsing import strip
 from ..operators.silver import ENTITY
@@ -23,6 +25,38 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+class Layers:
+    """Derived tables of one run: each is written once to the shared folder and read back with its schema.
+
+    A later step reads files in place of replanning all that lies before it, so plans stay small however
+    often a table is used, and a lost executor repeats one step at most. A layer is written when it is
+    first asked for; ``clear`` removes all of them.
+    """
+
+    def __init__(self, spark: SparkSession, name: str = "layers"):
+        self.spark, self.name, self.path = spark, name, None
+        self._schemas: dict[str, StructType] = {}
+
+    def get(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self._schemas:
+            self.path = self.path or scratch_path(self.spark, self.name)
+            df = build()
+            df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+            self._schemas[name] = df.schema
+        return self.spark.read.schema(self._schemas[name]).parquet(f"{self.path}/{name}")
+
+    def clear(self) -> None:
+        if self.path:
+            remove(self.spark, self.path)
+            self.path, self._schemas = None, {}
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder in whatever store it is."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def write_silver(silver: DataFrame, path: str, rows_per_file: int = 5_000_000) -> None:
     """One dataset, partitioned by entity; a large entity is spread over several files."""
     silver.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy(ENTITY).parquet(
