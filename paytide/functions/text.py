@@ -41,6 +41,11 @@ _BASE = "".join(_DECOMPOSED[c] for c in _ACCENTED)
 NO_COMPANY = "NO_COMPANY"
 
 
+def once(value: Column, body) -> Column:
+    """body(value) with the value computed once per row, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def blank_to_null(c: Column) -> Column:
     return F.when(c != "", c)
 
@@ -61,27 +66,27 @@ def normalize_company(c: Column | str, spaced_digits: bool = True) -> Column:
     for form in LEGAL_FORMS:
         name = F.regexp_replace(name, form, " ")
     name = F.trim(F.regexp_replace(name, r"\s+", " "))
-    head = F.trim(F.substring(name, 1, 9))
-    bad = (
-        (name == "")
-        | name.rlike(r"^\d+$")
-        | head.rlike(r"^(\d\s*)+$" if spaced_digits else r"^\d+$")
-        | name.startswith("INCOMING")
-    )
-    return F.when(~bad, name)
+
+    def kept(name: Column) -> Column:
+        head = F.trim(F.substring(name, 1, 9))
+        bad = (
+            (name == "")
+            | name.rlike(r"^\d+$")
+            | head.rlike(r"^(\d\s*)+$" if spaced_digits else r"^\d+$")
+            | name.startswith("INCOMING")
+        )
+        return F.when(~bad, name)
+
+    return once(name, kept)
 
 
 def extract_company(c: Column | str) -> Column:
-    text = strip(c)
-    found = []
-    for pattern in COMPANY_PATTERNS:
-        part = strip(F.regexp_extract(text, pattern, 1))
-        found.append(F.when((part != "") & ~part.rlike(r"^\d+$"), part))
-    return F.coalesce(*found)
+    usable = lambda part: F.when((part != "") & ~part.rlike(r"^\d+$"), part)
+    return once(strip(c), lambda text: F.coalesce(*[once(strip(F.regexp_extract(text, p, 1)), usable) for p in COMPANY_PATTERNS]))
 
 
 def first_non_empty_text(*columns: Column | str) -> Column:
-    return F.coalesce(*[blank_to_null(strip(c)) for c in columns])
+    return F.coalesce(*[once(strip(c), blank_to_null) for c in columns])
 
 
 def sanitize_label(c: Column | str, max_len: int = 80) -> Column:
