@@ -1,147 +1,49 @@
-"""Learned forecasts: MLlib estimators per fold, and grouped solves where one job serves all folds."""
+"""Learned forecasts: fitted per fold by one job for all folds."""
 from __future__ import annotations
 
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..sources.layers import scratch_path
 from .backtest import EVAL, PREDICTION
+from .boosting import Head, feature_names, fit_predict
 from .gold import TARGET
-from .pointintime import CUTOFF, FORECAST, numeric_feature_columns
+from .pointintime import CUTOFF, FORECAST
 
-# Default boosting budget; a user raises max_iter for a final run.
-BOOSTING = {"maxIter": 10, "maxDepth": 3, "stepSize": 0.1, "seed": 42}
 
+def gbt_regressor(training: DataFrame, inference: DataFrame, label: str = TARGET, loss: str = "squared", keys=(EVAL,), **budget) -> DataFrame:
+    """Boosted trees; the mean label when there is too little to split. ``loss``: squared, pinball (the median) or tweedie."""
+    return fit_predict(training, inference, {PREDICTION: Head(label, loss)}, keys, **budget)
 
-def feature_names(df: DataFrame) -> list[str]:
-    return [c for c in numeric_feature_columns(df) if not c.startswith("_")]
 
+def tweedie(training: DataFrame, inference: DataFrame, power: float = 1.5, reg: float = 0.1, keys=(EVAL,)) -> DataFrame:
+    """Zero-heavy positive target: generalized linear model with a log link on scaled features."""
+    return fit_predict(training, inference, {PREDICTION: Head(TARGET, "linear_tweedie", power=power, reg=reg)}, keys)
 
-def as_vectors(df: DataFrame, names: list[str]) -> DataFrame:
-    filled = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names})
-    return VectorAssembler(inputCols=names, outputCol="_features").transform(filled)
 
+def gbt_probability(training: DataFrame, inference: DataFrame, label: str, out: str, keys=(EVAL,), **budget) -> DataFrame:
+    """Probability of label 1 by boosted trees; the class rate when only one class was seen."""
+    return fit_predict(training, inference, {out: Head(label, "logistic")}, keys, **budget)
 
-#: Fits that run at once; each is a set of small Spark jobs.
-FITS_AT_ONCE = 8
 
+def logistic_probability(training: DataFrame, inference: DataFrame, label: str, out: str, reg: float = 0.01, keys=(EVAL,)) -> DataFrame:
+    """Scaled, class-balanced logistic regression."""
+    return fit_predict(training, inference, {out: Head(label, "linear_logistic", reg=reg)}, keys)
 
-def per_key(model: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[..., DataFrame]:
-    """A model of one fold as a model of all keys: (training, rows, keys) -> rows with PREDICTION.
 
-    The key combinations (folds, or outer and inner folds) are few; FITS_AT_ONCE of them are fitted at a
-    time. Both tables are written partitioned by a number of the combination, so a fit reads its own part
-    only; predictions are written per combination and read once, so the plan does not grow with the folds.
-    """
+#: Classifier of the two-part models, by name.
+CLASSIFIERS = {"gbt": {"loss": "logistic"}, "logistic": {"loss": "linear_logistic", "reg": 0.01}}
 
-    def run(training: DataFrame, rows: DataFrame, keys=(EVAL,)) -> DataFrame:
-        spark, keys = rows.sparkSession, list(keys)
-        path = scratch_path(spark, "fits")
-        combos = rows.select(*keys).distinct().orderBy(*keys).collect()
-        if not combos:
-            return rows.withColumn(PREDICTION, F.lit(None).cast("double"))
-        types = dict(rows.dtypes)
-        numbers = spark.createDataFrame([(*c, i) for i, c in enumerate(combos)], ", ".join(f"{k} {types[k]}" for k in keys) + ", _fit int")
-        parts = {}
-        for name, df in (("training", training), ("rows", rows)):
-            # rebalance: a small part is one file, a large one is split
-            df.join(F.broadcast(numbers), keys).select(*df.columns, "_fit").hint("rebalance", "_fit").write.partitionBy("_fit").parquet(f"{path}/{name}")
-            schema = T.StructType([*df.schema.fields, T.StructField("_fit", T.IntegerType())])
-            parts[name] = spark.read.schema(schema).parquet(f"{path}/{name}")
-
-        def one(i: int) -> None:
-            at = F.col("_fit") == i
-            out = model(*[parts[name].filter(at).drop("_fit") for name in ("training", "rows")])
-            out.withColumn(PREDICTION, F.col(PREDICTION).cast("double")).coalesce(1).write.parquet(f"{path}/predictions/_part={i}")
-
-        with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
-            list(pool.map(one, range(len(combos))))
-        return spark.read.option("basePath", f"{path}/predictions").parquet(f"{path}/predictions/*").drop("_part")
-
-    return run
-
-
-def each_fold(folds: DataFrame, training: DataFrame, inference: DataFrame,
-              fit_predict: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """Fit and predict every fold, several at a time."""
-    days = folds.select(EVAL)
-    return per_key(fit_predict)(training.join(days, EVAL, "left_semi"), inference.join(days, EVAL, "left_semi"))
-
-
-def gbt_regressor(training: DataFrame, inference: DataFrame, label: str = TARGET, **budget) -> DataFrame:
-    """Boosted trees; the mean label when there is too little to split."""
-    names = feature_names(inference)
-    if training.limit(2).count() < 2:
-        return inference.withColumn(PREDICTION, F.coalesce(training.agg(F.avg(label)).scalar(), F.lit(0.0)))
-    model = GBTRegressor(featuresCol="_features", labelCol=label, predictionCol=PREDICTION, **(BOOSTING | budget)).fit(as_vectors(training, names))
-    return model.transform(as_vectors(inference, names)).drop("_features")
-
-
-def tweedie(training: DataFrame, inference: DataFrame, power: float = 1.5) -> DataFrame:
-    """Zero-heavy positive target: generalized linear model with a log link on scaled features."""
-    names = feature_names(inference)
-    assembler = VectorAssembler(inputCols=names, outputCol="_raw")
-    scaler = StandardScaler(inputCol="_raw", outputCol="_features", withMean=True)
-    glm = GeneralizedLinearRegression(family="tweedie", variancePower=power, linkPower=0.0, featuresCol="_features",
-                                      labelCol="_label", predictionCol=PREDICTION, regParam=0.1, maxIter=25)
-    cast = lambda df: df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names})
-    label = F.greatest(F.col(TARGET), F.lit(0.0)) / 1000.0
-    model = Pipeline(stages=[assembler, scaler, glm]).fit(cast(training).withColumn("_label", label))
-    return model.transform(cast(inference)).drop("_raw", "_features").withColumn(PREDICTION, F.col(PREDICTION) * 1000.0)
-
-
-def _classes(training: DataFrame, label: str) -> tuple[int, float]:
-    row = training.agg(F.countDistinct(label), F.avg(label)).first()
-    return row[0], float(row[1] or 0.0)
-
-
-def gbt_probability(training: DataFrame, inference: DataFrame, label: str, out: str, **budget) -> DataFrame:
-    """Probability of label 1; the class rate when only one class was seen."""
-    classes, rate = _classes(training, label)
-    if classes < 2:
-        return inference.withColumn(out, F.lit(rate))
-    names = feature_names(inference)
-    model = GBTClassifier(featuresCol="_features", labelCol=label, predictionCol="_hard", **(BOOSTING | budget)).fit(as_vectors(training, names))
-    scored = model.transform(as_vectors(inference, names))
-    p = vector_to_array("probability")[1]
-    return scored.withColumn(out, F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))).drop("_features", "rawPrediction", "probability", "_hard")
-
-
-def logistic_probability(training: DataFrame, inference: DataFrame, label: str, out: str) -> DataFrame:
-    """Scaled, class-balanced logistic regression."""
-    classes, rate = _classes(training, label)
-    if classes < 2:
-        return inference.withColumn(out, F.lit(rate))
-    names = feature_names(inference)
-    weight = F.when(F.col(label) == 1, 0.5 / rate).otherwise(0.5 / (1 - rate))
-    cast = lambda df: df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names})
-    stages = [
-        VectorAssembler(inputCols=names, outputCol="_raw"),
-        StandardScaler(inputCol="_raw", outputCol="_features", withMean=True),
-        LogisticRegression(featuresCol="_features", labelCol=label, weightCol="_w", predictionCol="_hard", maxIter=50, regParam=0.01),
-    ]
-    model = Pipeline(stages=stages).fit(cast(training).withColumn("_w", weight))
-    scored = model.transform(cast(inference)).withColumn(out, vector_to_array("probability")[1])
-    return scored.drop("_raw", "_features", "rawPrediction", "probability", "_hard")
-
-
-def zero_aware(training: DataFrame, inference: DataFrame, classifier=gbt_probability, **budget) -> DataFrame:
+
+def zero_aware(training: DataFrame, inference: DataFrame, classifier: str = "gbt", keys=(EVAL,), **budget) -> DataFrame:
     """P(amount is not zero) times the amount expected given that it is not."""
-    labelled = training.withColumn("_occurs", (F.col(TARGET) != 0).cast("double"))
-    scored = classifier(labelled, inference, "_occurs", "_p")
-    amount = gbt_regressor(training.filter(F.col(TARGET) != 0), scored, **budget)
-    return amount.withColumn(PREDICTION, F.col("_p") * F.col(PREDICTION)).drop("_p")
+    labelled = training.withColumns({"_occurs": (F.col(TARGET) != 0).cast("double"), "_some": F.col(TARGET) != 0})
+    heads = {"_p": Head("_occurs", **CLASSIFIERS[classifier]), PREDICTION: Head(TARGET, where="_some")}
+    scored = fit_predict(labelled, inference, heads, keys, feature_names(inference), **budget)
+    return scored.withColumn(PREDICTION, F.col("_p") * F.col(PREDICTION)).drop("_p")
 
 
 # --- occurrence and spike cascade ----------------------------------------------------------
@@ -171,26 +73,26 @@ def cascade_routing(p_occurs: Column, p_spike: Column, normal: Column, spike: Co
 
 
 def spike_cascade(training: DataFrame, inference: DataFrame, quantile: float = 0.90, mode: str = "soft",
-                  min_rows: int = 10, classifier=gbt_probability) -> DataFrame:
-    labels = cascade_labels(training, quantile).first()
-    if labels is None:
-        return inference.withColumn(PREDICTION, F.lit(0.0))
-    cut = labels["SPIKE_THRESHOLD"] if labels["SPIKE_THRESHOLD"] is not None else float("inf")
-    y = F.col(TARGET)
-    occurs = training.withColumn("_occurs", (y > 0).cast("double"))
-    scored = classifier(occurs, inference, "_occurs", "_po")
-    spikes = training.filter(y > 0).withColumn("_spike", (y > cut).cast("double"))
-    scored = classifier(spikes, scored, "_spike", "_ps") if labels["OCCURRENCES"] else scored.withColumn("_ps", F.lit(0.0))
-
-    def magnitude(rows, count, fallback, name, df):
-        if count < min_rows:
-            return df.withColumn(name, F.lit(float(fallback)))
-        return gbt_regressor(rows, df).withColumnRenamed(PREDICTION, name)
-
-    scored = magnitude(training.filter((y > 0) & (y <= cut)), labels["NORMALS"], labels["NORMAL_FALLBACK"], "_normal", scored)
-    scored = magnitude(training.filter(y > cut), labels["SPIKES"], labels["SPIKE_FALLBACK"], "_big", scored)
-    c = cascade_routing(F.col("_po"), F.col("_ps"), F.col("_normal"), F.col("_big"), mode)
-    return scored.withColumn(PREDICTION, c).drop("_po", "_ps", "_normal", "_big")
+                  min_rows: int = 10, classifier: str = "gbt", keys=(EVAL,), **budget) -> DataFrame:
+    """Occurrence, spike given occurrence, and the amount in each regime, fitted together.
+
+    A regime with fewer than ``min_rows`` rows predicts its fallback mean.
+    """
+    keys, names = list(keys), feature_names(inference)
+    labels = cascade_labels(training, quantile, keys)
+    y = F.coalesce(F.col(TARGET), F.lit(0.0))
+    cut = F.coalesce("SPIKE_THRESHOLD", F.lit(float("inf")))
+    rows = training.join(labels.select(*keys, "SPIKE_THRESHOLD"), keys).withColumns({
+        "_occurs": (y > 0).cast("double"), "_spike": (y > cut).cast("double"), "_some": y > 0, "_low": (y > 0) & (y <= cut), "_high": y > cut})
+    kind = CLASSIFIERS[classifier]
+    heads = {"_po": Head("_occurs", **kind), "_ps": Head("_spike", where="_some", **kind), "_normal": Head(TARGET, where="_low"), "_big": Head(TARGET, where="_high")}
+    scored = fit_predict(rows, inference, heads, keys, names, **budget)
+    known = scored.join(labels.drop("SPIKE_THRESHOLD"), keys, "left")
+    enough = lambda count, value, other: F.when(F.coalesce(count, F.lit(0)) >= min_rows, F.col(value)).otherwise(F.coalesce(other, F.lit(0.0)))
+    normal = enough(F.col("NORMALS"), "_normal", F.col("NORMAL_FALLBACK"))
+    big = enough(F.col("SPIKES"), "_big", F.col("SPIKE_FALLBACK"))
+    c = cascade_routing(F.col("_po"), F.col("_ps"), normal, big, mode)
+    return known.withColumn(PREDICTION, c).select(*inference.columns, PREDICTION)
 
 
 # --- ridge for all folds in one job ---------------------------------------------------------
@@ -276,7 +178,7 @@ def stacking(training: DataFrame, inference: DataFrame, bases: dict[str, Callabl
              alpha: float = 1.0, min_rows: int = 30, **oof) -> DataFrame:
     """Out-of-fold base forecasts train a ridge; refitted bases feed it at the evaluation cutoff.
 
-    A base is called as model(fit, rows, keys=...); ``per_key`` makes one of a model of a single fold.
+    A base is called as model(fit, rows, keys=...); inner folds are more keys of the same job.
     ``passthrough`` names features that the ridge is fitted on beside the base forecasts.
     """
     folds = oof_folds(training, **oof)
@@ -312,7 +214,7 @@ def prediction_intervals(training: DataFrame, predictions: DataFrame, fitted: Co
     return joined.withColumns(columns).drop(*[c for c in joined.columns if c.startswith(("_lo_", "_hi_"))])
 
 
-def quantile_runs(training: DataFrame, predictions: DataFrame, fitted: Column, quantiles: dict[str, float], keys=(EVAL,)) -> DataFrame:
+def quantile_shift_runs(training: DataFrame, predictions: DataFrame, fitted: Column, quantiles: dict[str, float], keys=(EVAL,)) -> DataFrame:
     """One run per quantile: point forecast plus that quantile of the training residuals."""
     keys = list(keys)
     points = F.array(*[F.struct(F.lit(n).alias("CUSTOM_NAME"), F.lit(q).alias("q")) for n, q in quantiles.items()])
@@ -321,6 +223,20 @@ def quantile_runs(training: DataFrame, predictions: DataFrame, fitted: Column, q
     return rows.withColumns({PREDICTION: F.col(PREDICTION) + F.get("_r", F.col("_i")), "CUSTOM_NAME": F.col("_p.CUSTOM_NAME")}).drop("_r", "_i", "_p")
 
 
+def quantile_runs(training: DataFrame, inference: DataFrame, quantiles: dict[str, float], keys=(EVAL,), **budget) -> DataFrame:
+    """One run per quantile: trees boosted on the pinball loss, leaves that hold that quantile of their residuals.
+
+    All quantiles of a fold are fitted together and put in order, so no two of them cross.
+    """
+    names = sorted(quantiles, key=quantiles.get)
+    heads = {f"_q{i}": Head(TARGET, "pinball", q=quantiles[n]) for i, n in enumerate(names)}
+    fitted = fit_predict(training, inference, heads, keys, **budget)
+    fitted = fitted.withColumn("_s", F.array_sort(F.array(*heads))).drop(*heads)
+    points = F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("n"), F.col("_s").alias("p"))
+    rows = fitted.withColumn("_p", F.explode(points))
+    return rows.withColumns({PREDICTION: F.col("_p.p"), "CUSTOM_NAME": F.col("_p.n")}).drop("_s", "_p")
+
+
 def custom_model(training: DataFrame, inference: DataFrame, fit_predict: Callable[[pd.DataFrame, pd.DataFrame], pd.Series], keys=(EVAL,)) -> DataFrame:
     """User model per (sequence, fold): pandas frames of one training window and its evaluation row."""
     keys = list(keys)

@@ -96,18 +96,32 @@ def sequence_label(prefix: str, number: Column | str, width: int = 2) -> Column:
     return F.format_string(f"{prefix}%0{width}d", n)
 
 
-def numbered(df: DataFrame, order, name: str = "_number") -> DataFrame:
-    """Rows with their number in a total order: sorted ranges, numbered inside, plus the rows of earlier ranges.
+def ranged(df: DataFrame, order, name: str = "ranges") -> DataFrame:
+    """The rows in sorted ranges (``_range``), written down so that counts and rows come from the same cut."""
+    path = scratch_path(df.sparkSession, name)
+    df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def prefix_sums(rows: DataFrame, order, measures: dict[str, Column]) -> DataFrame:
+    """Each measure summed over all earlier rows of ``ranged`` rows, whose order is total.
 
-    The ranges are written down, so that counts and rows come from the same cut.
+    Sums are taken inside the ranges and over the totals of earlier ranges, one row per range: a parallel scan, so
+    no task holds more than a range.
     """
-    path = scratch_path(df.sparkSession, "numbered")
-    df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
-    ranged = df.sparkSession.read.parquet(path)
-    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
-    before = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return ranged.withColumn(name, inside).join(before, "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")
+    totals = rows.groupBy("_range").agg(*[F.sum(m).alias(f"_t_{n}") for n, m in measures.items()])
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_range", *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in measures])
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.withColumns({f"_l_{n}": F.coalesce(F.sum(m).over(inside), F.lit(0)) for n, m in measures.items()})
+    out = local.join(offsets, "_range").withColumns({n: F.col(f"_l_{n}") + F.col(f"_o_{n}") for n in measures})
+    return out.drop(*[f"_{x}_{n}" for x in "lo" for n in measures])
+
+
+def numbered(df: DataFrame, order, name: str = "_number") -> DataFrame:
+    """Rows with their number (from 1) in a total order."""
+    rows = prefix_sums(ranged(df, order, "numbered"), order, {"_before": F.lit(1)})
+    return rows.withColumn(name, F.col("_before") + 1).drop("_range", "_before")
 
 
 def block_shuffle(df: DataFrame, order: str, value: str, seed: int, block: int = 28) -> DataFrame:
@@ -131,36 +145,104 @@ def block_shuffle(df: DataFrame, order: str, value: str, seed: int, block: int =
 
 
 def history_moments(df: DataFrame, order: str, features) -> DataFrame:
-    """Mean and population deviation of each feature over strictly earlier rows."""
-    before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    """Mean and population deviation of each feature over strictly earlier rows, by a prefix scan.
+
+    Values are moved by their overall mean first, which keeps the sums of squares exact enough.
+    """
+    features = list(features)
+    rows = ranged(df, [order], "history")
+    centre = rows.agg(F.struct(*[F.avg(f).alias(f) for f in features]).alias("c")).scalar()
+    moved = rows.withColumn("_c", centre).withColumns({f"_d_{f}": F.col(f) - F.col("_c")[f] for f in features})
+    measures = {"HISTORY_ROWS": F.lit(1)}
+    for f in features:
+        d = F.col(f"_d_{f}")
+        measures |= {f"_n_{f}": d.isNotNull().cast("long"), f"_s_{f}": d, f"_q_{f}": d * d}
+    out = prefix_sums(moved, [order], measures)
     columns = {}
     for f in features:
-        columns[f"{f}_MEAN"] = F.avg(f).over(before)
-        columns[f"{f}_STD"] = F.stddev_pop(f).over(before)
-    columns["HISTORY_ROWS"] = F.row_number().over(Window.orderBy(order)) - 1
-    return df.withColumns(columns)
+        n, s, q = F.col(f"_n_{f}"), F.col(f"_s_{f}"), F.col(f"_q_{f}")
+        columns[f"{f}_MEAN"] = F.when(n > 0, F.col("_c")[f] + s / n)
+        columns[f"{f}_STD"] = F.when(n > 0, F.sqrt(F.greatest(q / n - (s / n) * (s / n), F.lit(0.0))))
+    return out.withColumns(columns).select(*df.columns, *columns, "HISTORY_ROWS")
+
+
+#: Bits per feature of the curve that puts rows with like features side by side.
+CURVE_BITS = 5
+#: Nearest blocks that give a row its first radius.
+FIRST_BLOCKS = 12
+#: Rows of a block, in tables of more or fewer rows than FEW_ROWS.
+SMALL_BLOCK, LARGE_BLOCK, FEW_ROWS = 64, 512, 16_384
+#: Blocks that one task call compares with a group of queries.
+BUNDLE = 64
+
+
+def _on_curve(rows: DataFrame, df: DataFrame, features: list[str], bits: int) -> DataFrame:
+    """``_z``: position on a Z-curve through the quantile bins of the features of ``df``; nulls lie in the first bin."""
+    points = F.array(*[F.lit(i / 2**bits) for i in range(1, 2**bits)])
+    cuts = df.agg(F.struct(*[F.percentile_approx(F.col(f).cast("double"), points, F.lit(10_000)).alias(f) for f in features]).alias("c")).scalar()
+    position = F.lit(0).cast("long")
+    for i, f in enumerate(features):
+        bin_ = F.size(F.filter(F.col("_cuts")[f], lambda c: c < F.col(f)))  # noqa: B023
+        bin_ = F.greatest(F.when(F.col(f).isNotNull(), bin_).otherwise(0), F.lit(0)).cast("long")
+        for bit in range(bits):
+            position = position + F.shiftleft(F.shiftright(bin_, bit).bitwiseAND(F.lit(1).cast("long")), bit * len(features) + i)
+    return rows.withColumn("_cuts", cuts).withColumn("_z", position).drop("_cuts")
+
+
+def neighbour_blocks(df: DataFrame, order: str, features, block: int) -> DataFrame:
+    """Rows with their history moments, ``_b`` (block of rows with like features) and ``_g`` (the rows of a block by age).
+
+    Ages double: rows with much history do not share a radius with rows that have little.
+    """
+    features = list(features)
+    moments = history_moments(df.select(order, *features), order, features)
+    scale = {f: F.when(F.coalesce(F.col(f"{f}_STD"), F.lit(0.0)) == 0, 1.0).otherwise(F.col(f"{f}_STD")) for f in features}
+    bits = min(CURVE_BITS, 62 // len(features))
+    rows = _on_curve(moments.withColumns({f"_s_{f}": c for f, c in scale.items()}), df, features, bits)
+    rows = numbered(rows, ["_z", order], "_i")
+    age = F.floor(F.log2(F.greatest(F.col("HISTORY_ROWS") / block, F.lit(1.0)))).cast("long")
+    rows = rows.withColumn("_b", F.floor((F.col("_i") - 1) / block).cast("long")).withColumn("_g", F.col("_b") * 64 + age)
+    path = scratch_path(df.sparkSession, "neighbour-blocks")
+    rows.select(order, *features, *[f"_s_{f}" for f in features], "HISTORY_ROWS", "_b", "_g").write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
-def nearest_earlier(df: DataFrame, order: str, features, k: int, min_history: int = 1, block: int = 512) -> DataFrame:
-    """k nearest strictly earlier rows of each row by distance standardized on its own history.
+def block_pairs(rows: DataFrame, order: str, features, min_history: int) -> DataFrame:
+    """(_g, _hb, BOUND): blocks that hold earlier rows than some query of the group, with a lower bound of the distance.
 
-    Rows are cut into blocks; every (query block, earlier block) pair is one bounded task that
-    returns its k best per row, and the few candidates are merged by rank. Neither all pairs nor
-    the whole history meet in one place.
+    Only the boxes meet, one row per block; nulls open a box to all sides.
     """
+    low = lambda f: F.min(F.coalesce(F.col(f).cast("double"), F.lit(float("-inf")))).alias(f"_lo_{f}")
+    high = lambda f: F.max(F.coalesce(F.col(f).cast("double"), F.lit(float("inf")))).alias(f"_hi_{f}")
+    boxes = rows.groupBy(F.col("_b").alias("_hb")).agg(F.min(order).alias("_first"), *[low(f) for f in features], *[high(f) for f in features])
+    groups = rows.filter(F.col("HISTORY_ROWS") >= min_history).groupBy("_g").agg(
+        F.max(order).alias("_last"), *[low(f).alias(f"_a_{f}") for f in features], *[high(f).alias(f"_z_{f}") for f in features],
+        *[F.max(f"_s_{f}").alias(f"_w_{f}") for f in features])
+    bound = _box_bound(features, lambda f: F.col(f"_z_{f}"), lambda f: F.col(f"_a_{f}"), lambda f: F.col(f"_w_{f}"))
+    met = groups.join(boxes, F.col("_first") < F.col("_last"))
+    return met.select("_g", "_hb", "_last", bound.alias("BOUND"), *[f"_{x}_{f}" for x in ("lo", "hi") for f in features])
+
+
+def _box_bound(features, high, low, scale) -> Column:
+    """Lower bound of the distance from anything between ``low`` and ``high`` to a box (_lo_f, _hi_f)."""
+    total = F.lit(0.0)
+    for f in features:
+        gap = F.greatest(F.col(f"_lo_{f}") - high(f), low(f) - F.col(f"_hi_{f}"), F.lit(0.0)) / scale(f)
+        total = total + gap * gap
+    return F.sqrt(total) * (1 - 1e-9)
+
+
+def nearest_in_pairs(rows: DataFrame, pairs: DataFrame, order: str, features, k: int, min_history: int) -> DataFrame:
+    """(order, NEIGHBOUR, DISTANCE): the k nearest earlier rows of each query in each bundle of blocks that its group meets."""
     features = list(features)
-    moments = history_moments(df.select(order, *features), order, features)
-    blocks = moments.withColumn("_b", F.floor(F.col("HISTORY_ROWS") / block).cast("int"))
-    last = blocks.agg(F.max("_b").alias("b")).scalar()
-    queries = blocks.filter(F.col("HISTORY_ROWS") >= min_history).withColumn(
-        "_hb", F.explode(F.sequence(F.lit(0), F.col("_b")))
-    )
-    queries = queries.select("_b", "_hb", F.lit(True).alias("_q"), order, *features,
-                             *[f"{f}_STD" for f in features])
-    history = blocks.withColumn("_qb", F.explode(F.sequence(F.col("_b"), last)))
-    history = history.select(F.col("_qb").alias("_b"), F.col("_b").alias("_hb"), F.lit(False).alias("_q"), order,
-                             *features, *[F.lit(None).cast("double").alias(f"{f}_STD") for f in features])
-    kind = dict(df.dtypes)[order]
+    scales = [f"_s_{f}" for f in features]
+    place = F.row_number().over(Window.partitionBy("_g").orderBy("_hb"))  # one row per block
+    pairs = pairs.withColumn("_c", F.floor((place - 1) / BUNDLE))
+    queries = rows.filter(F.col("HISTORY_ROWS") >= min_history).join(pairs.select("_g", "_c").distinct(), "_g")
+    queries = queries.select("_g", "_c", F.lit(True).alias("_q"), order, *features, *scales)
+    history = rows.withColumnsRenamed({"_b": "_hb", "_g": "_own"}).join(pairs.select("_g", "_hb", "_c", "_last"), "_hb").filter(F.col(order) < F.col("_last"))
+    history = history.select("_g", "_c", F.lit(False).alias("_q"), order, *features, *scales)
+    kind = dict(rows.dtypes)[order]
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         q = pdf[pdf["_q"]].sort_values(order)
@@ -169,9 +251,7 @@ def nearest_earlier(df: DataFrame, order: str, features, k: int, min_history: in
         if len(q) and len(h):
             hv = h[features].to_numpy(float)
             days = h[order].to_numpy()
-            scale = q[[f"{f}_STD" for f in features]].to_numpy(float)
-            scale = np.where((scale == 0) | np.isnan(scale), 1.0, scale)
-            for day, x, s in zip(q[order].to_numpy(), q[features].to_numpy(float), scale):
+            for day, x, s in zip(q[order].to_numpy(), q[features].to_numpy(float), q[scales].to_numpy(float)):
                 n = np.searchsorted(days, day)
                 if n:
                     d = np.sqrt((((hv[:n] - x) / s) ** 2).sum(axis=1))
@@ -182,10 +262,44 @@ def nearest_earlier(df: DataFrame, order: str, features, k: int, min_history: in
             return pd.DataFrame({order: [], "NEIGHBOUR": [], "DISTANCE": []})
         return pd.concat(out, ignore_index=True)
 
-    candidates = (
-        queries.unionByName(history)
-        .groupBy("_b", "_hb")
-        .applyInPandas(best, f"{order} {kind}, NEIGHBOUR {kind}, DISTANCE double")
-    )
+    return queries.unionByName(history).groupBy("_g", "_c").applyInPandas(best, f"{order} {kind}, NEIGHBOUR {kind}, DISTANCE double")
+
+
+def needed_pairs(rows: DataFrame, first: DataFrame, pairs: DataFrame, order: str, features, k: int, min_history: int) -> DataFrame:
+    """The pairs whose box lies within the radius of a query: its k-th distance found so far. First by group, then by row."""
+    kth = first.groupBy(order).agg(F.get(F.array_sort(F.collect_list("DISTANCE")), F.lit(k - 1)).alias("_r"))  # a few lists of k at most
+    queries = rows.filter(F.col("HISTORY_ROWS") >= min_history).join(kth, order, "left").withColumn("_r", F.coalesce("_r", F.lit(float("inf"))))
+    radius = queries.groupBy("_g").agg(F.max("_r").alias("_radius"))
+    near = pairs.join(radius, "_g").filter(F.col("BOUND") <= F.col("_radius")).drop("_radius")
+    value = lambda sign: lambda f: F.coalesce(F.col(f).cast("double"), F.lit(sign * float("inf")))
+    own = _box_bound(features, value(1), value(-1), lambda f: F.col(f"_s_{f}"))
+    within = near.join(queries.select("_g", "_r", *features, *[f"_s_{f}" for f in features]), "_g").filter(own <= F.col("_r"))
+    return within.groupBy("_g", "_hb").agg(F.first("_last").alias("_last"))
+
+
+def nearest_earlier(df: DataFrame, order: str, features, k: int, min_history: int = 1, block: int | None = None) -> DataFrame:
+    """k nearest strictly earlier rows of each row by distance standardized on its own history.
+
+    Rows with like features lie in one block. The nearest blocks first give every row a radius; then only
+    blocks whose bounding box lies within the radius are met, so the result is exact and most pairs
+    of blocks are never run. Queries meet a bounded bundle of blocks at a time, which gives their k best.
+    """
+    features = list(features)
+    spark = df.sparkSession
+    # Few rows in few blocks: there, calls cost more than distances.
+    block = block or (SMALL_BLOCK if df.count() > FEW_ROWS else LARGE_BLOCK)
+    rows = neighbour_blocks(df, order, features, block)
+
+    def kept(name: str, part: DataFrame) -> DataFrame:
+        path = scratch_path(spark, name)
+        part.write.parquet(path)
+        return spark.read.schema(part.schema).parquet(path)
+
+    pairs = kept("block-pairs", block_pairs(rows, order, features, min_history))
+    closest = F.row_number().over(Window.partitionBy("_g").orderBy("BOUND", "_hb"))  # one row per block
+    start = kept("first-pairs", pairs.withColumn("_r", closest).filter(F.col("_r") <= FIRST_BLOCKS).drop("_r"))
+    first = kept("first-neighbours", nearest_in_pairs(rows, start, order, features, k, min_history))
+    rest = needed_pairs(rows, first, pairs, order, features, k, min_history).join(start.select("_g", "_hb"), ["_g", "_hb"], "left_anti")
+    candidates = first.unionByName(nearest_in_pairs(rows, rest, order, features, k, min_history))
     rank = F.row_number().over(Window.partitionBy(order).orderBy("DISTANCE", F.desc("NEIGHBOUR")))
     return candidates.withColumn("RANK", rank).filter(F.col("RANK") <= k)

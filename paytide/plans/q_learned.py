@@ -16,43 +16,42 @@ _P = ("CUTOFF_DATE", "FORECAST_DATE", "TARGET_AMOUNT", "PREDICTION")
 _BASES = {"naive": M.naive_last_day, "weekly": M.seasonal_naive_weekly, "known": M.known_amount_d1}
 
 
-def _fit_each(t, fit):
-    """Every evaluation day: one fit each."""
-    return L.each_fold(t.folds.folds, t.folds.training(), t.folds.inference(), fit).select(*_P)
+def _fit_all(t, model, **settings):
+    """Every evaluation day, fitted in one job."""
+    return model(t.folds.training(), t.folds.inference(), **settings).select(*_P)
 
 
 @query("model_gbt_regressor")
 def _(t):
-    return _fit_each(t, L.gbt_regressor)
+    return _fit_all(t, L.gbt_regressor)
 
 
 @query("regressor_gbt_component")
 def _(t):
-    return _fit_each(t, lambda a, b: L.gbt_regressor(a.filter("TARGET_AMOUNT > 0"), b, maxDepth=2))
+    return L.gbt_regressor(t.folds.training().filter("TARGET_AMOUNT > 0"), t.folds.inference()).select(*_P)
 
 
 @query("model_tweedie")
 def _(t):
-    return _fit_each(t, L.tweedie)
+    return _fit_all(t, L.tweedie)
 
 
 @query("model_zero_aware")
 def _(t):
-    return _fit_each(t, L.zero_aware)
+    return _fit_all(t, L.zero_aware)
 
 
 @query("model_spike_cascade")
 def _(t):
-    return _fit_each(t, L.spike_cascade)
+    return _fit_all(t, L.spike_cascade)
 
 
 def _probabilities(t, classifier):
-    def fit(a, b):
-        mean = a.agg(F.avg("TARGET_AMOUNT")).scalar()
-        labelled = a.withColumn("_above", (F.col("TARGET_AMOUNT") > mean).cast("double"))
-        return classifier(labelled, b, "_above", "PREDICTION")
-
-    return _fit_each(t, fit)
+    """Probability that the amount exceeds the mean of the fold's training amounts."""
+    a = t.folds.training()
+    mean = a.groupBy("EVALUATION_CUTOFF").agg(F.avg("TARGET_AMOUNT").alias("_mean"))
+    labelled = a.join(mean, "EVALUATION_CUTOFF").withColumn("_above", (F.col("TARGET_AMOUNT") > F.col("_mean")).cast("double"))
+    return classifier(labelled, t.folds.inference(), "_above", "PREDICTION").select(*_P)
 
 
 @query("classifier_logistic")
@@ -110,15 +109,25 @@ def _(t):
     def fitted(fit, rows, keys):
         return L.ridge(fit, rows, _RIDGE, keys=keys)
 
-    return L.stacking(training, t.folds.inference(), _BASES | {"ridge": fitted}, features, **_OOF).select(*_P)
+    bases = _BASES | {"ridge": fitted, "boosted": L.gbt_regressor, "tweedie": L.tweedie}
+    return L.stacking(training, t.folds.inference(), bases, features, **_OOF).select(*_P)
+
+
+_LEVELS = {"quantile/80_lower": 0.10, "quantile/80_upper": 0.90, "quantile/95_lower": 0.025, "quantile/95_upper": 0.975, "quantile/median": 0.5}
 
 
 @query("model_quantile_runs")
+def _(t):
+    return L.quantile_runs(t.folds.training(), t.folds.inference(), _LEVELS).select("CUSTOM_NAME", *_P)
+
+
+@query("quantile_shift_runs", f"""SELECT CUSTOM_NAME, CUTOFF_DATE, FORECAST_DATE, TARGET_AMOUNT, PREDICTION + r AS PREDICTION FROM preds JOIN
+       (SELECT EVALUATION_CUTOFF, unnest({list(_LEVELS)}) AS CUSTOM_NAME, unnest(quantile_cont(TARGET_AMOUNT - TARGET_ROLLING_MEAN_7, {list(_LEVELS.values())})) AS r
+       FROM train_rows GROUP BY 1) USING (EVALUATION_CUTOFF) WHERE RUN_NAME = 'moving_average'""", "TARGET_AMOUNT:2 PREDICTION:3")
 def _(t):
     training = t.folds.training(["TARGET_ROLLING_MEAN_7"])
     point = M.moving_average(training, t.folds.inference())
-    levels = {"quantile/80_lower": 0.10, "quantile/80_upper": 0.90, "quantile/95_lower": 0.025, "quantile/95_upper": 0.975, "quantile/median": 0.5}
-    return L.quantile_runs(training, point, F.col("TARGET_ROLLING_MEAN_7"), levels).select("CUSTOM_NAME", *_P)
+    return L.quantile_shift_runs(training, point, F.col("TARGET_ROLLING_MEAN_7"), _LEVELS).select("CUSTOM_NAME", *_P)
 
 
 @query("prediction_intervals", """SELECT p.FORECAST_DATE, p.PREDICTION, p.PREDICTION + r.l80 AS PREDICTION_LOWER_80, p.PREDICTION + r.h80 AS PREDICTION_UPPER_80, p.PREDICTION + r.l95 AS PREDICTION_LOWER_95, p.PREDICTION + r.h95 AS PREDICTION_UPPER_95 FROM preds p JOIN

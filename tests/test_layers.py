@@ -53,3 +53,27 @@ def test_ranks_of_several_columns_in_one_pass(spark):
     rows = spark.createDataFrame([("a", 1.0, 5), ("a", 1.0, 4), ("a", 3.0, None), (None, 2.0, 1)], "k string, x double, n int")
     got = {(r["k"], r["x"], r["n"]): (r["rx"], r["rn"]) for r in Q.percent_ranks(rows, {"x": "rx", "n": "rn"}, ["k"]).collect()}
     assert got == {("a", 1.0, 5): (0.5, 1.0), ("a", 1.0, 4): (0.5, 0.5), ("a", 3.0, None): (1.0, None), (None, 2.0, 1): (1.0, 1.0)}
+
+
+def test_most_blocks_are_out_of_reach(spark):
+    """Ten times the calendar: fewer than a third of the pairs of rows are compared (exactness has a test of its own)."""
+    import numpy as np
+    import pandas as pd
+
+    from paytide.operators import relational as R
+
+    rng = np.random.default_rng(3)
+    n, k = 25_000, 5
+    level = np.cumsum(rng.normal(size=n)) / 40
+    x = np.stack([np.arange(n) % 7, level + rng.normal(size=n), np.roll(level, 7) + rng.normal(size=n), level, np.round(level, 1)], axis=1)
+    names = ["w", "a", "b", "c", "d"]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names).assign(t=np.arange(n)))
+    rows = R.neighbour_blocks(df, "t", names, 64)
+    pairs = R.block_pairs(rows, "t", names, 180)
+    closest = pairs.selectExpr("*", "row_number() OVER (PARTITION BY _g ORDER BY BOUND, _hb) AS r").filter(f"r <= {R.FIRST_BLOCKS}").drop("r")
+    first = R.nearest_in_pairs(rows, closest, "t", names, k, 180)
+    met = R.needed_pairs(rows, first, pairs, "t", names, k, 180).select("_g", "_hb").union(closest.select("_g", "_hb")).distinct()
+    sizes, groups = rows.groupBy("_b").count().toDF("_hb", "h"), rows.groupBy("_g").count().toDF("_g", "q")
+    met.persist()
+    work = lambda p: p.join(sizes, "_hb").join(groups, "_g").selectExpr("sum(h * q) AS w").first()["w"]
+    assert work(met) < work(pairs) / 3

@@ -244,20 +244,20 @@ def _fold_rows(spark, days=60):
 
 
 def test_folds_are_fitted_apart(spark):
-    from paytide.operators.learners import per_key
+    from paytide.operators.learners import gbt_regressor
 
     rows = _fold_rows(spark)
-    mean = per_key(lambda fit, ask: ask.withColumn("PREDICTION", F.lit(fit.agg(F.avg("TARGET_AMOUNT")).first()[0])))
-    got = mean(rows, rows).groupBy("EVALUATION_CUTOFF").agg(F.min("PREDICTION").alias("p"), F.max("PREDICTION").alias("q"), F.count("*").alias("n")).orderBy("EVALUATION_CUTOFF").collect()
+    mean = gbt_regressor(rows, rows, rounds=0)  # no rounds: the mean label of the fold
+    got = mean.groupBy("EVALUATION_CUTOFF").agg(F.min("PREDICTION").alias("p"), F.max("PREDICTION").alias("q"), F.count("*").alias("n")).orderBy("EVALUATION_CUTOFF").collect()
     want = rows.groupBy("EVALUATION_CUTOFF").agg(F.avg("TARGET_AMOUNT").alias("m")).orderBy("EVALUATION_CUTOFF").collect()
     assert [r["n"] for r in got] == [60, 60] and all(abs(g["p"] - w["m"]) < 1e-9 and g["p"] == g["q"] for g, w in zip(got, want, strict=True))
 
 
 def test_passthrough_changes_a_stacked_forecast(spark):
-    from paytide.operators.learners import per_key, stacking
+    from paytide.operators.learners import gbt_regressor, stacking
 
     rows = _fold_rows(spark)
     ask = rows.filter("CUTOFF_DATE = '2000-01-20'")
-    base = {"mean": per_key(lambda fit, r: r.withColumn("PREDICTION", F.lit(fit.agg(F.avg("TARGET_AMOUNT")).first()[0])))}
+    base = {"boosted": gbt_regressor}
     plain, more = (stacking(rows, ask, base, p, min_rows=5, max_folds=2, min_train=30, validation=7, step=7).orderBy("EVALUATION_CUTOFF").collect() for p in ((), ("X",)))
     assert len(plain) == len(more) == 2 and all(abs(a["PREDICTION"] - b["PREDICTION"]) > 1e-6 for a, b in zip(plain, more, strict=True))
