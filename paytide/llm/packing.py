@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 from .common import ready, widened, written
 
 CAPACITY = 2048
-GROUPS = 64
-#: Pieces of at most this share of the capacity are small.
-SMALL = 0.1
+#: Groups of large lengths, and the share of the capacity up to which pieces are small. On the lengths of 10,000 documents
+#: 64 groups and 0.1 took 5,044 sequences, these 4,937; 4,936 is the least that the tokens allow.
+GROUPS = 1024
+SMALL = 0.25
 
 _encoders: dict[str, object] = {}
 
