@@ -132,7 +132,12 @@ def fold_features_in_fitted_units(folds, kind: str) -> DataFrame:
     from .backtest import TRAIN_FROM, fold_labels
     from .pointintime import CUTOFF, as_of_rows, day_range, point_in_time_features
 
-    fit = fit_power(folds.training(()), kind, (EVAL, *folds.seq))
+    keys = (EVAL, *folds.seq)
+    if kind in ("none", "log1p"):  # nothing to fit
+        days = folds.folds.select(EVAL) if not folds.seq else folds.training(()).select(*keys).distinct()
+        fit = days.withColumns({"POWER": F.lit(None).cast("double"), "SHIFT": F.lit(0.0)})
+    else:
+        fit = fit_power(folds.training(()), kind, keys)
     spans = folds.folds.withColumn(CUTOFF, F.explode(F.sequence(TRAIN_FROM, EVAL))).select(EVAL, CUTOFF)
     grid = folds.grid.join(spans, CUTOFF).join(fit, [EVAL, *folds.seq])
     rows = as_of_rows(folds.steps, folds.spec.oldest_age)
@@ -143,3 +148,22 @@ def fold_features_in_fitted_units(folds, kind: str) -> DataFrame:
     )
     labelled = fold_labels(features, folds.steps, folds.seq)
     return labelled.withColumn(TARGET, units.apply(F.col(TARGET)))
+
+
+def transformed_backtest(folds, kind: str, model) -> DataFrame:
+    """Rolling-origin predictions of a model that works in transformed units: features and labels of each fold in the
+    units fitted on that fold's labels, the forecast inverted with the same power and shift.
+
+    ``model(training, rows)`` returns the rows with PREDICTION; the final label stays in the original units.
+    """
+    from .backtest import PREDICTION
+    from .pointintime import CUTOFF, with_labels
+
+    rows = fold_features_in_fitted_units(folds, kind)
+    units = ["POWER", "SHIFT"]
+    training = rows.filter(F.col(CUTOFF) < F.col(EVAL)).drop(*units)
+    ask = rows.filter(F.col(CUTOFF) == F.col(EVAL)).drop(TARGET)
+    fit = ask.select(EVAL, *folds.seq, *units)
+    predicted = model(training, ask.drop(*units)).join(fit, [EVAL, *folds.seq])
+    back = predicted.withColumn(PREDICTION, inverse(kind, F.col(PREDICTION), F.col("POWER"), F.col("SHIFT")))
+    return with_labels(back.drop(*units), folds.final, folds.seq)

@@ -147,6 +147,8 @@ cte("scored", """SELECT *, y * score AS gain, y * (100 - score) AS pen FROM (SEL
 cte("worst", """SELECT *, row_number() OVER w AS r, sum(y) OVER w AS cy, sum(gain) OVER w AS cg, sum(pen) OVER w AS cp, count(*) OVER (PARTITION BY RUN_NAME) AS n,
  sum(y) OVER (PARTITION BY RUN_NAME) AS ty, sum(gain) OVER (PARTITION BY RUN_NAME) AS tg, sum(pen) OVER (PARTITION BY RUN_NAME) AS tp
  FROM scored WINDOW w AS (PARTITION BY RUN_NAME ORDER BY round(pen, 4) DESC, FORECAST_DATE)""")
+cte("ljung", """SELECT RUN_NAME, r - avg(r) OVER (PARTITION BY RUN_NAME) AS x, row_number() OVER (PARTITION BY RUN_NAME ORDER BY FORECAST_DATE) AS i,
+ count(*) OVER (PARTITION BY RUN_NAME) AS n FROM (SELECT RUN_NAME, FORECAST_DATE, p - y AS r FROM scored)""")
 cte("tx", """SELECT *, abs(amount) AS abs_amount, CASE WHEN abs(amount) < 20000 THEN 'low' WHEN abs(amount) < 100000 THEN 'medium' WHEN abs(amount) < 1000000 THEN 'high' ELSE 'huge' END AS amount_bin,
   company_name IS NOT NULL AS company_found, coalesce(company_name, 'NO_COMPANY') AS company_key, isodow(VALUE_DATE) - 1 AS dayofweek, dayname(VALUE_DATE) AS day_name, day(VALUE_DATE) AS dayofmonth
  FROM (SELECT ID, TRADE_DATE, VALUE_DATE, SIGNED_AMOUNT AS amount, CASH_MOVEMENT_TYPE_SHORTNAME, CASE WHEN ACCOUNT_SHORTNAME = 'Brand#7' THEN NULL ELSE concat('CUSTOMER ', substr(CPTY_NAME, 10)) END AS company_name,

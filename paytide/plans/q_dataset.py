@@ -209,11 +209,48 @@ def _(t):
         "CUTOFF_DATE", "TARGET_LAG_7", "TARGET_ROLLING_MEAN_28", "TARGET_STD_28", "KNOWN_AMOUNT_D1")
 
 
-# --- simple forecasts ---
-
 _P = "CUTOFF_DATE, FORECAST_DATE, TARGET_AMOUNT, PREDICTION"
 
 
+def _window_means(training, rows):
+    """Mean training label of the fold, in whatever units it has."""
+    means = training.groupBy("EVALUATION_CUTOFF").agg(F.avg("TARGET_AMOUNT").alias("PREDICTION"))
+    return rows.join(means, "EVALUATION_CUTOFF")
+
+
+def _positive_folds(t):
+    """Folds over the size of the daily amounts, so that every transform is defined."""
+    size = lambda df, c: df.withColumn(c, F.abs(c))
+    return K.FoldData(size(t.realized, "TARGET_AMOUNT"), size(t.known, "KNOWN_AMOUNT"), EVAL_FROM, EVAL_TO, TRAIN_WINDOW, SPEC)
+
+
+_ABS_LABEL = "coalesce((SELECT sum(abs(k.KNOWN_AMOUNT)) FROM known k WHERE k.VALUE_DATE = t.FORECAST_DATE AND k.TRADE_DATE <= t.EVALUATION_CUTOFF), 0)"
+
+
+@query("backtest_log1p", f"""SELECT e.CUTOFF_DATE, e.FORECAST_DATE, abs(e.TARGET_AMOUNT) AS TARGET_AMOUNT, m.p AS PREDICTION FROM eval_rows e JOIN
+       (SELECT EVALUATION_CUTOFF, exp(avg(ln(1 + y))) - 1 AS p FROM (SELECT t.EVALUATION_CUTOFF, {_ABS_LABEL} AS y FROM train_rows t) GROUP BY 1) m ON m.EVALUATION_CUTOFF = e.CUTOFF_DATE""",
+       "TARGET_AMOUNT:2 PREDICTION:4")
+def _(t):
+    return X.transformed_backtest(_positive_folds(t), "log1p", _window_means).select(*_cols(_P))
+
+
+@query("backtest_box_cox")
+def _(t):
+    from ..operators.learners import ridge
+
+    names = ["TARGET_LAG_1", "TARGET_LAG_7", "TARGET_ROLLING_MEAN_28", "KNOWN_AMOUNT_D1"]
+    return X.transformed_backtest(_positive_folds(t), "box_cox", lambda a, b: ridge(a, b, names)).select(*_cols(_P))
+
+
+@query("backtest_yeo_johnson")
+def _(t):
+    from ..operators.learners import gbt_regressor
+
+    return X.transformed_backtest(t.folds, "yeo_johnson", gbt_regressor).select(*_cols(_P))
+
+
+# --- simple forecasts ---
+
 def _predict(t, model, **kw):
     return model(t.folds.training(()), t.folds.inference(), **kw).select(*_cols(_P))
 

@@ -210,6 +210,21 @@ def _(t):
     return E.residual_diagnostics(t.simple)
 
 
+@query("residual_moments", """SELECT RUN_NAME, TEST, VALUE FROM (UNPIVOT (SELECT RUN_NAME, avg(r) AS "mean residual", median(r) AS "median residual",
+       corr(r, l1) AS "lag1 residual autocorrelation", corr(r, l7) AS "lag7 residual autocorrelation" FROM (SELECT RUN_NAME, p - y AS r, lag(p - y, 1) OVER w AS l1, lag(p - y, 7) OVER w AS l7
+       FROM scored WINDOW w AS (PARTITION BY RUN_NAME ORDER BY FORECAST_DATE)) GROUP BY 1) ON COLUMNS(* EXCLUDE RUN_NAME) INTO NAME TEST VALUE VALUE)""", "VALUE:4")
+def _(t):
+    return E.residual_diagnostics(t.simple).filter("TEST NOT LIKE 'Ljung%'")
+
+
+@query("ljung_box_statistics", """SELECT RUN_NAME, LAGS, any_value(n) * (any_value(n) + 2) * sum(r * r / (n - k)) AS STATISTIC FROM
+       (SELECT a.RUN_NAME, k, any_value(a.n) AS n, sum(a.x * b.x) / any_value(a.v) AS r FROM (SELECT *, sum(x * x) OVER (PARTITION BY RUN_NAME) AS v FROM ljung) a
+       JOIN (SELECT unnest(range(1, 29)) AS k) g ON true JOIN ljung b ON b.RUN_NAME = a.RUN_NAME AND b.i = a.i - k GROUP BY 1, 2), (VALUES (7), (14), (28)) h(LAGS) WHERE k <= LAGS GROUP BY 1, 2""", "STATISTIC:3")
+def _(t):
+    residual = t.simple.select("RUN_NAME", "FORECAST_DATE", (E.clipped("PREDICTION") - E.clipped("TARGET_AMOUNT")).alias("R"))
+    return E.ljung_box_test(residual, "R").select("RUN_NAME", "LAGS", "STATISTIC")
+
+
 @query("spectral_entropy", """SELECT h AS SPECTRAL_ENTROPY, 1 - h AS FORECASTABILITY_OMEGA FROM (SELECT -sum(p / t * ln(p / t + 1e-12)) / ln(count(*)) AS h FROM (SELECT p, sum(p) OVER () AS t FROM (SELECT k, pow(sum(x * cos(2 * pi() * ((k * i) % n) / n)), 2) + pow(sum(x * sin(2 * pi() * ((k * i) % n) / n)), 2) AS p
        FROM (SELECT TARGET_AMOUNT - avg(TARGET_AMOUNT) OVER () AS x, row_number() OVER (ORDER BY FORECAST_DATE) - 1 AS i, count(*) OVER () AS n FROM all_rows), LATERAL (SELECT unnest(generate_series(1, n // 2)) AS k) g GROUP BY k)))""", "SPECTRAL_ENTROPY,FORECASTABILITY_OMEGA:8")
 def _(t):

@@ -71,7 +71,8 @@ def _named_flags(df, *names):
 # --- sources and sinks ---
 
 
-@query("read_bronze")
+@query("read_bronze", """SELECT APPLICATIVE_STATUS_SHORTNAME, CASH_MOVEMENT_TYPE_SHORTNAME, count(*) AS n, count(DISTINCT AMOUNT) AS amounts
+       FROM bronze_raw WHERE APPLICATIVE_STATUS_SHORTNAME IN ('O', 'F') GROUP BY 1, 2""")
 def _(t):
     path = L.scratch_path(t.spark, "bronze")
     raw = t.bronze
@@ -81,19 +82,20 @@ def _(t):
         by_status(status).select(columns).write.option("header", True).option("sep", ";").csv(f"{path}/{status}")
     got = B.read_bronze(t.spark, f"{path}/*")
     return got.groupBy("APPLICATIVE_STATUS_SHORTNAME", "CASH_MOVEMENT_TYPE_SHORTNAME").agg(
-        F.count("*").alias("n"), F.max(S.LINEAGE_ROW).alias("last_row"))
+        F.count("*").alias("n"), F.countDistinct("AMOUNT").alias("amounts"))
 
 
-@query("add_lineage")
+@query("add_lineage", "SELECT count(*) AS n, count(*) AS numbers, count(*) AS last FROM bronze_raw")
 def _(t):
     path = L.scratch_path(t.spark, "lineage")
     t.bronze.drop("source_name").write.option("header", True).option("sep", ";").csv(path)
     got = B.read_bronze(t.spark, path, same_header=True)
-    return got.groupBy(S.LINEAGE_SOURCE).agg(
+    per_file = got.groupBy(S.LINEAGE_SOURCE).agg(
         F.count("*").alias("n"), F.countDistinct(S.LINEAGE_ROW).alias("numbers"), F.max(S.LINEAGE_ROW).alias("last"))
+    return per_file.agg(*[F.sum(c).alias(c) for c in ("n", "numbers", "last")])  # equal when every file counts 1, 2, 3 and on
 
 
-@query("read_extract_csv")
+@query("read_extract_csv", "SELECT ID, CAST(VALUE_DATE AS VARCHAR) AS VALUE_DATE, CAST(AMOUNT AS VARCHAR) AS AMOUNT FROM movements")
 def _(t):
     path = L.scratch_path(t.spark, "extract")
     t.movements.withColumnRenamed("ID", " ID ").write.option("header", True).csv(path)
@@ -123,7 +125,8 @@ def _(t):
     return L.load_silver_normalized(t.spark, path).select("ID", "ENTITY_SHORTNAME", "TRADE_DATE", "VALUE_DATE", "AMOUNT", "SIGN")
 
 
-@query("write_gold")
+@query("write_gold", """SELECT 'gold' AS layer, 'realized' AS table_name, count(*) AS row_count FROM realized
+       UNION ALL SELECT 'gold', 'known', count(*) FROM known""")
 def _(t):
     path = L.scratch_path(t.spark, "gold")
     L.write_gold(t.gold, path)
@@ -152,7 +155,7 @@ def _(t):
     return S.build_manifest("gold", **t.gold)
 
 
-@query("write_dataset")
+@query("write_dataset", "SELECT strftime(CUTOFF_DATE, '%Y-%m') AS CUTOFF_MONTH, count(*) AS count FROM eval_rows GROUP BY 1")
 def _(t):
     path = L.scratch_path(t.spark, "dataset")
     L.write_dataset(t.eval_rows, path)
@@ -163,7 +166,7 @@ def _runs(t):
     return t.predictions.withColumnRenamed("RUN_NAME", "MODEL_NAME").withColumn("CUSTOM_NAME", F.lit("default"))
 
 
-@query("write_backtest")
+@query("write_backtest", "SELECT RUN_NAME AS MODEL_NAME, 'default' AS CUSTOM_NAME, count(*) AS count FROM preds GROUP BY 1")
 def _(t):
     path = L.scratch_path(t.spark, "backtests")
     L.write_predictions(_runs(t), path)
@@ -171,7 +174,7 @@ def _(t):
     return t.spark.read.parquet(path).groupBy("MODEL_NAME", "CUSTOM_NAME").count()
 
 
-@query("write_forecast")
+@query("write_forecast", "SELECT CUTOFF_DATE, count(*) AS count FROM preds GROUP BY 1")
 def _(t):
     path = L.scratch_path(t.spark, "forecasts")
     L.write_forecast(t.predictions.select("RUN_NAME", "CUTOFF_DATE", "FORECAST_DATE", "PREDICTION"), path)
