@@ -9,6 +9,8 @@ from .gold import TARGET
 from .pointintime import Rescale
 
 TINY = 1e-6
+#: Stands for a missing power where a null would not do.
+NO_POWER = -1e300
 # Coarse grid of (power, distance to the next one), growing by a quarter beyond 5 either way; then
 # repeatedly twenty finer steps on each side of the best one.
 _OUTER = tuple(5 * 1.25**i for i in range(1, 21))
@@ -65,9 +67,11 @@ def _log_likelihood(kind: str, power: Column) -> Column:
     return -F.count("_x") / 2 * F.log(F.greatest(F.var_pop(z), F.lit(1e-300))) + (F.first("_p") - 1) * jacobian
 
 
-def fit_power(rows: DataFrame, kind: str, keys=(EVAL,), target: str = TARGET) -> DataFrame:
+def fit_power(rows: DataFrame, kind: str, keys=(EVAL,), target: str = TARGET, cover_zero: bool = False) -> DataFrame:
     """Maximum-likelihood POWER and SHIFT per key; a null POWER means leave the values as they are.
 
+    ``cover_zero``: the shift of box_cox also makes 0 positive, for features of days without bookings.
+
     Every round evaluates all candidate powers of all keys in one grouped aggregate and narrows the
     grid around the best one, so neither folds nor candidates are looped over on the driver.
     """
@@ -77,7 +81,8 @@ def fit_power(rows: DataFrame, kind: str, keys=(EVAL,), target: str = TARGET) ->
     values = rows.select(*keys, F.coalesce(F.col(target).cast("double"), F.lit(0.0)).alias("_y"))
     stats = values.groupBy(*keys).agg(F.min("_y").alias("_lo"), F.max("_y").alias("_hi"))
     if kind == "box_cox":
-        shift = F.greatest(F.lit(0.0), TINY - F.col("_lo"))
+        least = F.least(F.col("_lo"), F.lit(0.0)) if cover_zero else F.col("_lo")
+        shift = F.greatest(F.lit(0.0), TINY - least)
         stats = stats.withColumns({"SHIFT": shift, "_flat": F.col("_lo") == F.col("_hi")})
     else:
         stats = stats.withColumns({"SHIFT": F.lit(0.0), "_flat": F.lit(False)})
@@ -137,17 +142,20 @@ def fold_features_in_fitted_units(folds, kind: str) -> DataFrame:
         days = folds.folds.select(EVAL) if not folds.seq else folds.training(()).select(*keys).distinct()
         fit = days.withColumns({"POWER": F.lit(None).cast("double"), "SHIFT": F.lit(0.0)})
     else:
-        fit = fit_power(folds.training(()), kind, keys)
+        fit = fit_power(folds.training(()), kind, keys, cover_zero=True)
+    # Powers are grouping keys below, where a null would meet nothing.
+    fit = fit.withColumn("POWER", F.coalesce("POWER", F.lit(NO_POWER)))
+    power = F.nullif(F.col("POWER"), F.lit(NO_POWER))
     spans = folds.folds.withColumn(CUTOFF, F.explode(F.sequence(TRAIN_FROM, EVAL))).select(EVAL, CUTOFF)
     grid = folds.grid.join(spans, CUTOFF).join(fit, [EVAL, *folds.seq])
     rows = as_of_rows(folds.steps, folds.spec.oldest_age)
     rows = rows.join(spans, CUTOFF).join(fit, [EVAL, *folds.seq])
-    units = rescale(kind, F.col("POWER"), F.col("SHIFT"))
+    units = rescale(kind, power, F.col("SHIFT"))
     features = point_in_time_features(
         grid, rows, folds.spec, folds.calendar, (EVAL, *folds.seq, "POWER", "SHIFT"), units
     )
     labelled = fold_labels(features, folds.steps, folds.seq)
-    return labelled.withColumn(TARGET, units.apply(F.col(TARGET)))
+    return labelled.withColumn(TARGET, units.apply(F.col(TARGET))).withColumn("POWER", power)
 
 
 def transformed_backtest(folds, kind: str, model) -> DataFrame:

@@ -121,3 +121,24 @@ def test_models_of_odd_folds(spark):
     for classifier in ("gbt", "logistic"):
         p = L.zero_aware(training, ask, classifier).agg(F.min("PREDICTION"), F.max("PREDICTION")).first()
         assert p[0] >= -1e-6 and p[1] < 2000
+
+
+@pytest.mark.parametrize("kind", ["none", "log1p", "box_cox", "yeo_johnson"])
+def test_a_transformed_forecast_comes_back_in_amounts(spark, sf_dir, kind):
+    """A model that returns yesterday's amount gives it back in the original units, whatever the units of the fold."""
+    from paytide.operators import transforms as X
+    from paytide.operators.backtest import FoldData
+    from paytide.operators.pointintime import FeatureSpec
+    from paytide.plans.tables import Tables
+
+    t = Tables(spark, sf_dir)
+    size = lambda df, c: df.withColumn(c, F.abs(c))
+    spec = FeatureSpec(lags=(1,), windows={}, history=28, cross=False)
+    folds = FoldData(size(t.realized, "TARGET_AMOUNT"), size(t.known, "KNOWN_AMOUNT"), "2000-01-01", "2000-01-05", 30, spec)
+    last = lambda training, rows: rows.withColumn("PREDICTION", F.col("TARGET_LAG_1"))
+    got = {r["CUTOFF_DATE"]: r for r in X.transformed_backtest(folds, kind, last).collect()}
+    want = {r["CUTOFF_DATE"]: r for r in folds.inference().collect()}
+    assert got.keys() == want.keys() and len(got) == 5
+    for day, r in got.items():
+        assert r["PREDICTION"] == pytest.approx(want[day]["TARGET_LAG_1"], rel=1e-6, abs=1e-3)
+        assert r["TARGET_AMOUNT"] == pytest.approx(want[day]["TARGET_AMOUNT"])
