@@ -3,6 +3,9 @@
 Tier one is a broadcast table of the token counts of frequent pre-tokens, bounded by FREQUENT entries
 and taken from a bounded sample of rows; it decides speed only. Tier two is a cache in each worker for
 the rest: a missing pre-token is encoded once by the library's own model. Pre-tokens never shuffle.
+
+Texts are cut here if their characters are simple, else by the tokenizer's own normalizer and pre-tokenizer;
+both ways end in the look-up. Only a text with a special string goes through the library as a whole.
 """
 from __future__ import annotations
 
@@ -19,9 +22,10 @@ FREQUENT = 32_768
 SAMPLE_ROWS = 4_000
 #: Entries of a worker's cache; when it is full, it starts again from tier one.
 CACHED = 400_000
-#: Texts of these characters only are cut into pre-tokens here; others by the library.
+#: Texts of these characters only are cut into pre-tokens here, if the file's normalizer is the one below;
+#: others by the tokenizer's own parts.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e¡-įı-ɏ]*")
-_SPECIAL = re.compile(r"<\|", re.IGNORECASE)
+_NORMALIZERS = ("NFC", "Replace", "Lowercase")
 
 _loaded: dict[str, Tokens] = {}
 
@@ -67,8 +71,11 @@ class Tokens:
         self.library.no_padding()
         self.library.no_truncation()
         with open(path, encoding="utf-8") as f:
-            split = json.load(f)["pre_tokenizer"]["pretokenizers"][0]
+            file = json.load(f)
+        split = file["pre_tokenizer"]["pretokenizers"][0]
         self.pieces = regex.compile(split["pattern"]["Regex"]).findall
+        self.simple = tuple(n["type"] for n in (file["normalizer"] or {}).get("normalizers", [])) == _NORMALIZERS
+        self.special = [t["content"] for t in file["added_tokens"]]
         letters = _byte_letters()
         self.model, self.map = self.library.model, [letters[b] for b in range(256)]
         self.lengths = Lengths({}, self.encode)
@@ -81,16 +88,22 @@ class Tokens:
             self.lengths = Lengths(frequent, self.encode)
 
     def cut(self, text: str) -> list[str] | None:
-        """Pre-tokens of a plain text; None if the library has to cut it."""
-        if (text.isascii() or _PLAIN.fullmatch(text)) and not _SPECIAL.search(text) and not _CONTROL.search(text):
+        """Pre-tokens of a text; None if it holds a special string, which the library has to find."""
+        if any(special in text for special in self.special):
+            return None
+        if self.simple and (text.isascii() or _PLAIN.fullmatch(text)) and not _CONTROL.search(text):
             return self.pieces(text.lower())
-        return None
+        normal = self.library.normalizer.normalize_str(text) if self.library.normalizer else text
+        if any(special in normal for special in self.special):
+            return None
+        return [normal[first:last] for _, (first, last) in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+
+    def whole(self, text: str) -> int:
+        return len(self.library.encode(text, add_special_tokens=False).ids)
 
     def count(self, text: str) -> int:
         cut = self.cut(text)
-        if cut is None:
-            return len(self.library.encode(text, add_special_tokens=False).ids)
-        return sum(map(self.lengths.__getitem__, cut))
+        return self.whole(text) if cut is None else sum(map(self.lengths.__getitem__, cut))
 
 
 _CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")

@@ -113,6 +113,18 @@ def test_token_counts_equal_the_library(spark, odd):
     assert tokencount.count_tokens(odd.filter("false"), path).count() == 0
 
 
+def test_token_counts_of_other_scripts_use_the_lookup(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokens, library, asked = tokencount.Tokens(path), Tokenizer.from_file(path), []
+    whole = tokens.whole
+    monkeypatch.setattr(tokens, "whole", lambda t: asked.append(t) or whole(t))
+    texts = ["“quotes” — and – dashes… 5 €", "Привет, МИР! Ёлка", "ΟΔΥΣΣΕΥΣ ΑΣ. ΣΑΣ", "日本語のテキスト 中文字", "한국어 문장", "😀👍🏽 ok 👩‍👩‍👧", "हिन्दी में ३ शब्द",
+             "e\u0301cole İI ıi ǅ ſß", "a\u2028b\u00a0c\u3000d\x85e\x1cf", "<|x|> <| endoftext |> <|ENDOFTEXT|>", "it's ДON'T we’ll 'S", "", " \t\n"]
+    assert [tokens.count(t) for t in texts] == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert not asked
+    assert tokens.count("я <|endoftext|> я") == len(library.encode("я <|endoftext|> я", add_special_tokens=False).ids) and len(asked) == 1
+
+
 def _check_packing(rows, texts, capacity):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = sorted(tuple(library.encode(t or "", add_special_tokens=False).ids) + (0,) for t in texts)
