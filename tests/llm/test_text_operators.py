@@ -61,6 +61,29 @@ def test_toxic_chain(spark):
     assert all((r["p_explicit"] > 0.5) == (r["doc_id"] % 4 == 0) and (r["p_coded"] > 0.5) == (r["doc_id"] % 4 == 1) for r in held)
 
 
+def test_toxicity_of_long_texts(spark):
+    """Long clean texts of joined clean documents stay clean, and the same texts with a toxic passage do not."""
+    sf = "/root/testdata/sf0.01/"
+    docs, labels = spark.read.parquet(f"{sf}documents.parquet").select("doc_id", "text", "lang"), spark.read.parquet(f"{sf}labels.parquet")
+    fitted = toxicity.fit(docs.select("doc_id", "text"), labels)
+    clean = docs.filter("lang = 'en'").join(labels.filter("toxic = 0").select("doc_id"), "doc_id").orderBy("doc_id").select("text").collect()
+    pool = [w for r in clean for w in r["text"].split()]
+    insult = "you stupid idiot what a pathetic loser worthless trash and scum you moron"
+    texts = [(i, " ".join((pool[i * 997:] + pool)[:20_000])) for i in range(4)]
+    rows = texts + [(10 + i, f"{t[:30_000]} {insult} {t[30_000:]}") for i, t in texts]
+    rows += [(20, " ".join(pool[:256])), (21, "z" * 300_000), (22, " ".join(pool[:300]) + " " + insult)]
+    got = {r["doc_id"]: r["toxic"] for r in toxicity.judge(spark.createDataFrame(rows, "doc_id long, text string"), fitted).collect()}
+    assert got == {i: i in (10, 11, 12, 13, 22) for i, _ in rows}
+
+
+def test_halves_cover_all_words():
+    for n in (0, 1, 127, 128, 129, 160, 256, 300, 5_001):
+        tokens = [f"w{i}" for i in range(n)]
+        halves = toxicity.halved(" ".join(tokens))
+        assert [t for h in halves for t in h] == tokens and all(64 <= len(h) < 192 for h in halves[1:])
+    assert toxicity.halved("x" * 450) == [["x" * 200, "x" * 200, "x" * 50]] and toxicity.halved(None) == []
+
+
 def test_toxicity_of_odd_texts(spark, odd):
     labels = spark.createDataFrame([(1, 1), (5, 0), (7, 0), (None, 1), (3, None)], "doc_id long, toxic int")
     got = toxicity.judge(odd, toxicity.fit(odd, labels)).collect()
