@@ -3,32 +3,34 @@
 For each language a suffix automaton is built of a bounded sample of labelled text. A text is parsed
 greedily into the longest matches with the language's text; a language that needs few phrases resembles
 it. With reference texts of n_L letters the number of phrases times log2(n_L) per letter estimates the
-cross-entropy; the lowest wins.
+cross-entropy; a letter that the language's sample lacks is a phrase of its own and also costs log2 of the
+number of letters known to any language. The lowest sum wins.
 
-The parse needs the automaton's moves only, so it is a table (state, letter) -> state; a move that the
-automaton lacks ends the phrase and starts the next one with that letter. Texts are parsed in blocks of
-BLOCK letters (each block starts a phrase), many blocks at once by table look-ups in numpy.
+Each language has its own alphabet, all letters of its sample. Its automaton is stored sparsely, as rows of
+a state's moves laid over each other in one array: a slot holds the state that owns it and the next state, so
+memory follows the moves and not states times letters. A move that the automaton lacks ends the phrase and
+starts the next one with that letter. Texts are parsed in blocks of BLOCK letters (each block starts a
+phrase), many blocks at once by table look-ups in numpy.
 """
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import ready, widened
 
 #: Training sample of each language: at most so many letters, of so many documents, of each document so many.
 LETTERS, DOCUMENTS, OF_EACH = 60_000, 400, 1_000
-#: Languages that are learned; those with most documents.
-LANGUAGES = 200
-#: Letters of the joint alphabet; rarer ones match nothing.
-ALPHABET = 62
+#: Letters of all samples together: with more than 100 languages each gets an equal share.
+ALL_LETTERS = 6_000_000
 BLOCK = 512
 BATCH_LETTERS = 4_000_000
 UNKNOWN = "und"
 _POINTS = 0x110000
-GAP = 1  # the code of a run of other characters; 0 is a letter outside of the alphabet
+GAP = 1  # the code of a run of other characters; 0 is a letter that a language lacks
 
 _letters: np.ndarray | None = None
 
@@ -44,8 +46,8 @@ def points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
 
-def automaton(codes: list[int], width: int) -> np.ndarray:
-    """The suffix automaton of a sequence as a table of parse moves: entry = 2 * width * next state + (a phrase starts)."""
+def automaton(codes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The moves (state, letter, next state) of a sequence's suffix automaton and the number of states; 0 is the root."""
     moves: list[dict[int, int]] = [{}]
     links, lengths, last = [-1], [0], 0
     for c in codes:
@@ -71,46 +73,84 @@ def automaton(codes: list[int], width: int) -> np.ndarray:
                     p = links[p]
                 links[q] = links[new] = copy
         last = new
+    state = np.repeat(np.arange(len(moves)), [len(m) for m in moves])
+    letter = np.fromiter((c for m in moves for c in m), np.int64, len(state))
+    following = np.fromiter((t for m in moves for t in m.values()), np.int64, len(state))
+    return state, letter, following, len(moves)
+
+
+def laid_out(state: np.ndarray, letter: np.ndarray, following: np.ndarray, states: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sparse parse moves: slots (owner << 32 | next) at base + letter, and the start move of each letter.
+
+    A state is named by its base; bases are drawn at random for many states at once, those of most moves first,
+    and drawn again while a base or a slot is taken. The root owns no slot: its moves are the start moves.
+    """
+    random = np.random.default_rng(7)
+    inner = state > 0
+    size = 4 * max(int(inner.sum()), states, 64)
+    base = np.zeros(states, dtype=np.int64)
+    used = np.zeros(size + width, dtype=bool)
+    named = np.zeros(size, dtype=bool)
+    named[0] = True  # the root
+    degree = np.bincount(state, minlength=states)
+    degree[0] = 0
+    at = np.cumsum(np.bincount(state, minlength=states)) - np.bincount(state, minlength=states)
+    for least, most in ((32, width), (12, 31), (5, 11), (2, 4), (1, 1), (0, 0)):
+        todo = np.flatnonzero((degree >= least) & (degree <= most))
+        todo = todo[todo > 0]
+        todo = todo[np.argsort(-degree[todo], kind="stable")]
+        while len(todo):
+            drawn = random.integers(1, size, len(todo))
+            free = ~named[drawn]
+            order = np.unique(drawn, return_index=True)[1]
+            once = np.zeros(len(todo), dtype=bool)
+            once[order] = True
+            rank = np.repeat(np.arange(len(todo)), degree[todo])
+            move = np.repeat(at[todo], degree[todo]) + np.arange(len(rank)) - np.repeat(np.cumsum(degree[todo]) - degree[todo], degree[todo])
+            slot = drawn[rank] + letter[move]
+            won = np.zeros(len(slot), dtype=bool)
+            won[np.unique(slot, return_index=True)[1]] = True
+            won &= ~used[slot]
+            good = free & once & (np.bincount(rank, weights=~won, minlength=len(todo)) == 0)
+            base[todo[good]] = drawn[good]
+            named[drawn[good]] = True
+            used[slot[good[rank]]] = True
+            todo = todo[~good]
+    slots = np.full(size + width, -1, dtype=np.int64)
+    slots[base[state[inner]] + letter[inner]] = base[state[inner]] << 32 | base[following[inner]]
     start = np.zeros(width, dtype=np.int64)
-    for c, s in moves[0].items():
-        start[c] = s
-    table = np.repeat((2 * width * start + 1)[None, :], len(moves), axis=0)
-    for s, m in enumerate(moves):
-        if s:
-            for c, t in m.items():
-                table[s, c] = 2 * width * t
-    table[:, width - 1] = 2 * width * np.arange(len(moves))  # the filler after a text's end stays and costs nothing
-    return table.astype(np.int32).ravel()
+    start[letter[~inner]] = base[following[~inner]]
+    return slots, start
 
 
 class Model:
-    """What is learned: the alphabet, and of each language its name, letters and sequence (automata are built where used)."""
+    """What is learned: of each language its name and sample; alphabets and automata are built where used."""
 
     def __init__(self, samples: dict[str, str]):
-        texts = {k: v for k, v in sorted(samples.items()) if v}
-        self.names = list(texts)
-        seen: dict[str, int] = {}
-        for t in texts.values():
-            for ch, n in zip(*np.unique(points(t), return_counts=True), strict=True):
-                if is_letter()[ch]:
-                    seen[chr(ch)] = seen.get(chr(ch), 0) + int(n)
-        self.alphabet = sorted(seen, key=lambda ch: (-seen[ch], ch))[:ALPHABET]
-        self.width = len(self.alphabet) + 3  # unknown, gap, letters, filler
-        self.texts = texts
+        self.texts = {k: v for k, v in sorted(samples.items()) if v}
+        self.names = list(self.texts)
         self.bits: list[float] = []
-        self.tables: list[np.ndarray] = []
+        self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def __getstate__(self):
         return self.__dict__ | {"tables": [], "bits": [], "codes": None}
 
     def built(self) -> Model:
         if not self.tables:
-            self.codes = np.where(is_letter(), 0, GAP).astype(np.uint8)
-            for i, ch in enumerate(self.alphabet):
-                self.codes[ord(ch)] = i + 2
+            known = np.unique(np.concatenate([points(t.lower()) for t in self.texts.values()])) if self.texts else np.zeros(0, np.uint32)
+            known = known[is_letter()[known]]
+            self.codes = np.where(is_letter(), 0, GAP).astype(np.int32)
+            self.codes[known] = np.arange(len(known)) + 2
+            self.filler = len(known) + 2
+            self.literal = float(np.log2(max(len(known), 2)))
             for t in self.texts.values():
                 codes, _, _ = self.coded([t])
-                self.tables.append(automaton(codes.tolist(), self.width))
+                own = np.unique(np.append(codes, GAP))
+                local = np.zeros(self.filler + 1, dtype=np.int64)
+                local[own] = np.arange(len(own)) + 1  # 0: a letter that this language lacks, and the filler
+                width = len(own) + 1
+                slots, start = laid_out(*automaton(local[codes].tolist()), width)
+                self.tables.append((local, slots, start))
                 self.bits.append(float(np.log2(max(len(codes), 2))))
         return self
 
@@ -126,23 +166,29 @@ class Model:
         return codes[keep], np.bincount(owner[keep], minlength=len(texts)), lettered
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Phrases by text and language, letters of each text, and whether it has a letter."""
+        """Phrases and, of these, lacking letters by text and language (in two layers), letters of each text, and whether it has a letter."""
         codes, sizes, lettered = self.coded(texts)
         blocks = -(-sizes // BLOCK)
         first = np.cumsum(blocks) - blocks
         at = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        grid = np.full((BLOCK, int(blocks.sum())), self.width - 1, dtype=np.uint8)
+        grid = np.full((BLOCK, int(blocks.sum())), self.filler, dtype=np.int32)
         grid[at % BLOCK, np.repeat(first, sizes) + at // BLOCK] = codes
         owner = np.repeat(np.arange(len(texts)), blocks)
-        counts = np.zeros((len(texts), len(self.names)))
-        for k, table in enumerate(self.tables):
-            state = np.zeros(grid.shape[1], dtype=np.int32)
-            n = np.zeros(grid.shape[1], dtype=np.int32)
+        fillers = blocks * BLOCK - sizes
+        counts = np.zeros((2, len(texts), len(self.names)))
+        for k, (local, slots, start) in enumerate(self.tables):
+            state = np.zeros(grid.shape[1], dtype=np.int64)
+            n = np.zeros(grid.shape[1], dtype=np.int64)
+            lacking = np.zeros(grid.shape[1], dtype=np.int64)
             for row in grid:
-                move = table[state + row]
-                n += move & 1
-                state = move >> 1
-            counts[:, k] = np.bincount(owner, weights=n, minlength=len(texts))
+                letter = local[row]
+                slot = slots[state + letter]
+                ends = slot >> 32 != state
+                state = np.where(ends, start[letter], slot & 0xFFFFFFFF)
+                n += ends
+                lacking += letter == 0
+            for layer, of_blocks in enumerate((n, lacking)):  # a filler counts as a lacking letter
+                counts[layer, :, k] = np.bincount(owner, weights=of_blocks, minlength=len(texts)) - fillers
         return counts, sizes, lettered
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -155,7 +201,7 @@ class Model:
                 some.append(todo.pop(0))
                 room -= len(texts[some[-1]])
             counts, _, lettered = self.phrases([texts[i] for i in some])
-            rates = counts * np.array(self.bits)
+            rates = counts[0] * np.array(self.bits) + counts[1] * self.literal
             best = rates.argmin(axis=1)
             for j, i in enumerate(some):
                 if lettered[j]:
@@ -171,25 +217,24 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
-    """A model of labelled rows. The sample is bounded: for each of at most LANGUAGES languages the DOCUMENTS
-    rows of lowest hash, OF_EACH letters from the middle of each, LETTERS in all; rows are thinned by their
-    hash before they are ranked, so no task gets all rows of a language."""
+    """A model of all labelled languages. The sample is bounded: for each language the DOCUMENTS rows of lowest
+    hash, OF_EACH letters from the middle of each, LETTERS in all (less when all languages together would pass
+    ALL_LETTERS); rows are thinned by their hash before they are ranked, so no task gets all rows of a language."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not found:
-        return Model({})
-    hashed = F.abs(F.xxhash64("key", F.length("text")) % 1_000_000)
-    share = F.create_map(*[F.lit(x) for r in found for x in (r["lang"], min(1_000_000, 4 * DOCUMENTS * 1_000_000 // r["count"] + 1))])
-    thin = rows.withColumn("h", hashed).filter(F.col("h") < share[F.col("lang")])
+    share = rows.groupBy("lang").agg((4 * DOCUMENTS * 1_000_000 / F.count("*") + 1).alias("share"))
     start = F.greatest(F.lit(1), ((F.length("text") - OF_EACH) / 2).cast("int"))
-    sample: dict[str, list] = {}
-    for r in thin.select("lang", "h", F.substring("text", start, F.lit(OF_EACH)).alias("text")).toLocalIterator():
-        sample.setdefault(r["lang"], []).append((r["h"], r["text"]))
-    texts = {}
-    for name, got in sample.items():
-        texts[name] = "\n".join(t for _, t in sorted(got)[:DOCUMENTS])[:LETTERS]
-    return Model(texts)
+    hashed = rows.select("lang", F.abs(F.xxhash64("key", F.length("text")) % 1_000_000).alias("h"), F.substring("text", start, F.lit(OF_EACH)).alias("text"))
+    thin = hashed.join(share, "lang").filter(F.col("h") < F.col("share"))
+    lowest = thin.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))).filter(F.col("rank") <= DOCUMENTS)
+    sample: dict[str, list[str]] = {}
+    sizes: dict[str, int] = {}
+    for r in lowest.orderBy("lang", "rank").select("lang", "text").toLocalIterator():
+        if sizes.get(r["lang"], 0) < LETTERS:
+            sample.setdefault(r["lang"], []).append(r["text"])
+            sizes[r["lang"]] = sizes.get(r["lang"], 0) + len(r["text"]) + 1
+    each = min(LETTERS, ALL_LETTERS // max(len(sample), 1))
+    return Model({name: "\n".join(got)[:each] for name, got in sample.items()})
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

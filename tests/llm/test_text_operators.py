@@ -21,18 +21,52 @@ def odd(spark):
     return df.withColumns({c: F.lit("x") for c in ("score", "kept", "n_tokens", "toxic", "piece", "length", "digest", "form", "t", "key")})
 
 
-def test_parse_table_is_greedy_longest_match():
-    model = langid.Model({"a": "abcabcab dcab", "b": "zzz yx"}).built()
-    codes, _, _ = model.coded(["abcabcab dcab"])
-    text, table = bytes(codes.tolist()), model.tables[0]
-    for probe in ("abca dab", "zzab", "b", "dcabcabc"):
-        got, _, lettered = model.phrases([probe])
-        todo, n = bytes(model.coded([probe])[0].tolist()), 0
-        while todo:
-            k = max((i for i in range(len(todo) + 1) if todo[:i] in text), default=0)
-            todo, n = todo[max(k, 1):], n + 1
-        assert got[0, 0] == n and lettered[0]
-    assert table.dtype == np.int32
+def test_parse_is_greedy_longest_match():
+    model = langid.Model({"a": "abcabcab dcab", "b": "zzz yx", "c": "日本日中 ёж"}).built()
+    for k, name in enumerate(model.names):
+        text = model.coded([model.texts[name]])[0].tolist()
+        for probe in ("abca dab", "zzab", "b", "dcabcabc", "日本 abc 中ж", "q" * 30, "ab" * 700):
+            (got, lacking), _, lettered = model.phrases([probe])
+            codes = model.coded([probe])[0].tolist()
+            n = 0
+            for i in range(0, len(codes), langid.BLOCK):
+                todo = codes[i:i + langid.BLOCK]
+                while todo:
+                    fits = (m for m in range(len(todo), 0, -1) if any(text[j:j + m] == todo[:m] for j in range(len(text))))
+                    todo, n = todo[max(next(fits, 0), 1):], n + 1
+            assert got[0, k] == n and lettered[0] and lacking[0, k] == sum(c not in text for c in codes)
+
+
+SCRIPTS = {"ru": (0x430, 32), "bg": (0x430, 30), "el": (0x3B1, 24), "hi": (0x905, 50), "zh": (0x4E00, 3000), "ja": (0x3041, 80), "ko": (0xAC00, 1500), "en": (97, 26), "ar": (0x627, 28)}
+
+
+def made_up(names, per, words, seed=5):
+    """Texts of made-up words of each language's own syllables."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for name in names:
+        first, n = SCRIPTS.get(name, (97, 26))
+        letters = [c for c in map(chr, range(first, first + n)) if c.isalpha()]
+        syllables = ["".join(rng.choice(letters, 2)) for _ in range(60)]
+        out += [(name, " ".join("".join(rng.choice(syllables, rng.integers(1, 4))) for _ in range(words))) for _ in range(per)]
+    return out
+
+
+def test_language_of_many_scripts(spark):
+    rows = [(i, *r) for i, r in enumerate(made_up(SCRIPTS, 80, 60))]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = langid.identify(docs.filter("doc_id % 2 = 1"), langid.learn(docs.filter("doc_id % 2 = 0")))
+    right = {r["lang"]: r["right"] for r in got.groupBy("lang").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("right")).collect()}
+    assert set(right) == set(SCRIPTS) and min(right.values()) > 0.95
+
+
+def test_language_of_300_labels(spark):
+    rows = [(i, *r) for i, r in enumerate(made_up([f"l{i:03d}" for i in range(300)], 8, 40))]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = langid.learn(docs.filter("doc_id % 2 = 0"))
+    assert len(model.names) == 300
+    got = langid.identify(docs.filter("doc_id % 2 = 1").repartition(2), model)
+    assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.95
 
 
 def test_language_of_odd_texts(spark, odd):
