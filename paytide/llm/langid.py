@@ -20,12 +20,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ready, widened
+from .common import ready, widened, written
 
 #: Training sample of each language: at most so many letters, of so many documents, of each document so many.
 LETTERS, DOCUMENTS, OF_EACH = 60_000, 400, 1_000
 #: Letters of all samples together: with more than 100 languages each gets an equal share.
 ALL_LETTERS = 6_000_000
+#: Languages up to which the table of their shares is broadcast; more are joined as Spark chooses.
+BROADCAST_LANGUAGES = 100_000
 BLOCK = 512
 BATCH_LETTERS = 4_000_000
 UNKNOWN = "und"
@@ -223,6 +225,9 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
     share = rows.groupBy("lang").agg((4 * DOCUMENTS * 1_000_000 / F.count("*") + 1).alias("share"))
+    share = written(share, "languages")
+    if share.count() <= BROADCAST_LANGUAGES:  # rows are thinned where they lie, before they are dealt by language
+        share = F.broadcast(share)
     start = F.greatest(F.lit(1), ((F.length("text") - OF_EACH) / 2).cast("int"))
     hashed = rows.select("lang", F.abs(F.xxhash64("key", F.length("text")) % 1_000_000).alias("h"), F.substring("text", start, F.lit(OF_EACH)).alias("text"))
     thin = hashed.join(share, "lang").filter(F.col("h") < F.col("share"))
