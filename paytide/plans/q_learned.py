@@ -1,6 +1,7 @@
 """Queries of learned forecasts, ensembles and clusters."""
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import backtest as K
@@ -229,3 +230,20 @@ def _(t):
     rows = P.transaction_features(t.banded, *t.tx_span)
     drop = ("abs_amount", "company_name", "company_found", "AMOUNT", "SIGNED_AMOUNT")
     return C.cluster_transactions(rows.drop(*drop)).select("ID", "amount_band", "auto_series_id")
+
+
+@query("auto_membership_totals", "SELECT company_key, count(*) AS n, sum(amount) AS amount, 1 AS series FROM tx GROUP BY 1", "amount:2", "n series")
+def _(t):
+    """Every row of a company is in the one series of its cluster."""
+    members = C.auto_membership(t.tx, _clustered(t)[0])
+    return members.groupBy("company_key").agg(F.count("*").alias("n"), F.sum("amount").alias("amount"), F.countDistinct("series_id").alias("series"))
+
+
+@query("cluster_totals", "SELECT count(DISTINCT company_key) AS companies, count(*) AS n, sum(amount) AS total, least(6, count(DISTINCT company_key)) AS clusters, true AS falling FROM tx", "total:2", "companies n clusters")
+def _(t):
+    """The clusters share out the companies and their rows, and are numbered by falling totals."""
+    summary = C.cluster_summary(_clustered(t)[0])
+    above = F.lag("total_amount").over(Window.orderBy("auto_series_id"))  # one row per cluster
+    return summary.withColumn("_f", F.coalesce(above >= F.col("total_amount"), F.lit(True))).agg(
+        F.sum("company_count").alias("companies"), F.sum("row_count").alias("n"), F.sum("total_amount").alias("total"), F.count("*").alias("clusters"),
+        F.min("_f").alias("falling"))
