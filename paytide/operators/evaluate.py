@@ -435,28 +435,81 @@ def ljung_box_test(series: DataFrame, value: str, lags=(7, 14, 28), order: str =
     return stat.filter("_n > 30").select(*keys, "LAGS", "STATISTIC", tail.alias("P_VALUE"))
 
 
-def spectral_entropy(series: DataFrame, value: str = TARGET, order: str = FORECAST) -> DataFrame:
-    """Normalized entropy of the power spectrum of a daily series.
+def _fourier(rows: DataFrame, sign: int = -1) -> DataFrame:
+    """Discrete Fourier transform of every series s: (s, n, a, t, re, im) to (s, n, a, k, re, im), n = a x b.
 
-    The transform is a grouped sum over frequency x day, which the calendar bounds; each day makes
-    its own frequencies, and the sums combine on the map side.
+    Two grouped stages of n x a and n x b rows: sums over t1 with t = b t1 + t2, then over t2 with
+    k = k1 + a k2. Missing t are zeros. Phases are reduced in whole numbers, which keeps the angles exact.
     """
-    x = series.select(order, F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_x"))
-    stats = x.agg(F.avg("_x").alias("m"), F.count("*").alias("n"))
-    numbered = x.select((F.row_number().over(Window.orderBy(order)) - 1).alias("_t"), "_x")
-    numbered = attach(numbered, stats)
-    waves = numbered.withColumn("_k", F.explode(F.sequence(F.lit(1), F.floor(F.col("n") / 2).cast("int"))))
-    # The phase is reduced in whole numbers first, which keeps the angle exact.
-    angle = 2 * math.pi * F.pmod(F.col("_k") * F.col("_t"), F.col("n")) / F.col("n")
-    centred = F.col("_x") - F.col("m")
-    spectrum = waves.groupBy("_k").agg(F.sum(centred * F.cos(angle)).alias("c"), F.sum(centred * F.sin(angle)).alias("s"))
-    power = spectrum.select((F.col("c") ** 2 + F.col("s") ** 2).alias("p"))
-    total = power.agg(F.sum("p").alias("t"))
-    share = F.col("p") / F.col("t")
-    entropy = attach(power, total).agg(
-        F.when(F.max("t") > 0, -F.sum(share * F.log(share + 1e-12)) / F.log(F.count("*"))).alias("SPECTRAL_ENTROPY")
-    )
-    return entropy.withColumn("FORECASTABILITY_OMEGA", 1.0 - F.col("SPECTRAL_ENTROPY"))
+    b = F.expr("n div a")
+
+    def turned(df: DataFrame, part, keys) -> DataFrame:
+        angle = sign * 2 * math.pi * part
+        return df.withColumn("_w", angle).groupBy("s", "n", "a", *keys).agg(
+            F.sum(F.col("re") * F.cos("_w") - F.col("im") * F.sin("_w")).alias("re"),
+            F.sum(F.col("re") * F.sin("_w") + F.col("im") * F.cos("_w")).alias("im"))
+
+    first = rows.withColumns({"t1": F.expr("t div (n div a)"), "t2": F.pmod("t", b)}).withColumn("k1", F.explode(F.sequence(F.lit(0).cast("long"), F.col("a") - 1)))
+    inner = turned(first, F.pmod(F.col("t1") * F.col("k1"), F.col("a")) / F.col("a"), ("t2", "k1"))
+    second = inner.withColumn("k2", F.explode(F.sequence(F.lit(0).cast("long"), b - 1))).withColumn("k", F.col("k1") + F.col("a") * F.col("k2"))
+    return turned(second, F.pmod(F.col("t2") * F.col("k"), F.col("n")) / F.col("n"), ("k",))
+
+
+def _chirped(rows: DataFrame) -> DataFrame:
+    """The transform of lengths without a good divisor, but for a turn of each k: a convolution with a chirp.
+
+    exp(-2 pi i t k / n) splits into chirps of t, k and k - t; the convolution is taken by transforms of
+    a square length of at least 2 n - 1.
+    """
+    root = F.ceil(F.sqrt(2 * F.col("n") - 1)).cast("long")
+    chirp = math.pi * F.pmod(F.col("t") * F.col("t"), 2 * F.col("n")) / F.col("n")
+    square = {"_n": F.col("n"), "a": root, "n": root * root}
+    down = rows.withColumns({"_c": chirp, "_x": F.col("re"), "_y": F.col("im")}).withColumns(
+        {"re": F.col("_x") * F.cos("_c") + F.col("_y") * F.sin("_c"), "im": F.col("_y") * F.cos("_c") - F.col("_x") * F.sin("_c")})
+    lengths = rows.groupBy("s", "n").agg(F.lit(0).alias("_0"))
+    wave = lengths.withColumn("t", F.explode(F.sequence(1 - F.col("n"), F.col("n") - 1))).withColumn("_c", chirp)
+    wave = wave.select("s", "n", "t", F.cos("_c").alias("re"), F.sin("_c").alias("im")).withColumns(square).withColumn("t", F.pmod("t", "n"))
+    left = _fourier(down.withColumns(square).select("s", "n", "a", "t", "re", "im")).alias("x")
+    right = _fourier(wave.select("s", "n", "a", "t", "re", "im")).alias("y")
+    met = left.join(right, F.col("x.s").eqNullSafe(F.col("y.s")) & (F.col("x.k") == F.col("y.k")))
+    product = met.select("x.s", "x.n", "x.a", F.col("x.k").alias("t"), (F.col("x.re") * F.col("y.re") - F.col("x.im") * F.col("y.im")).alias("re"),
+                         (F.col("x.re") * F.col("y.im") + F.col("x.im") * F.col("y.re")).alias("im"))
+    back = _fourier(product, 1)
+    return back.select("s", "k", (F.col("re") / F.col("n")).alias("re"), (F.col("im") / F.col("n")).alias("im"))
+
+
+#: Lengths whose two factors add up to more than this many square roots are transformed by the chirp.
+UNEVEN = 16
+
+
+def power_spectrum(series: DataFrame, value: str = TARGET, order: str = FORECAST, keys=()) -> DataFrame:
+    """(s, k, p): power at the frequencies 1 to n / 2 of each centred series; s holds the keys, missing values are 0.
+
+    n (a + b) rows for n = a x b with a the largest divisor up to the root; about 17 n root(n) for other lengths.
+    """
+    key = F.struct(*keys) if keys else F.lit(0)
+    x = series.select(key.alias("s"), order, F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_x"))
+    # A series is one row per day, which the calendar bounds.
+    numbered = x.withColumn("t", (F.row_number().over(Window.partitionBy("s").orderBy(order)) - 1).cast("long"))
+    stats = x.groupBy(F.col("s").alias("_s")).agg(F.avg("_x").alias("m"), F.count("*").alias("n"))
+    divisor = F.array_max(F.filter(F.sequence(F.lit(1).cast("long"), F.floor(F.sqrt("n"))), lambda i: F.col("n") % i == 0))
+    rows = numbered.join(stats.withColumn("a", divisor), F.col("s").eqNullSafe(F.col("_s"))).select(
+        "s", "n", "a", "t", (F.col("_x") - F.col("m")).alias("re"), F.lit(0.0).alias("im"))
+    uneven = F.col("a") + F.col("n") / F.col("a") > UNEVEN * F.sqrt("n")
+    found = _fourier(rows.filter(~uneven)).select("s", "k", "re", "im").unionByName(_chirped(rows.filter(uneven)))
+    half = stats.select("_s", F.floor(F.col("n") / 2).alias("_h"))
+    kept = found.join(half, F.col("s").eqNullSafe(F.col("_s"))).filter("k BETWEEN 1 AND _h")
+    return kept.select("s", "k", (F.col("re") ** 2 + F.col("im") ** 2).alias("p"))
+
+
+def spectral_entropy(series: DataFrame, value: str = TARGET, order: str = FORECAST, keys=()) -> DataFrame:
+    """Normalized entropy of the power spectrum of a daily series, or of one series per key; null without power or with one frequency."""
+    power = power_spectrum(series, value, order, keys)
+    total = power.groupBy(F.col("s").alias("_s")).agg(F.sum("p").alias("t"))
+    share = F.try_divide("p", "t")
+    entropy = power.join(total, F.col("s").eqNullSafe(F.col("_s"))).groupBy("s").agg(
+        F.try_divide(-F.sum(share * F.log(share + 1e-12)), F.log(F.count("*"))).alias("SPECTRAL_ENTROPY"))
+    return entropy.select(*[F.col("s")[k].alias(k) for k in keys], "SPECTRAL_ENTROPY", (1.0 - F.col("SPECTRAL_ENTROPY")).alias("FORECASTABILITY_OMEGA"))
 
 
 def state_signature() -> Column:
