@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paytide.functions import labels, parsing, scoring, text
-from paytide.operators import baselines, companies, learners, quantiles, series, transforms
+from paytide.operators import baselines, companies, learners, quantiles, series, silver, transforms
 from paytide.operators import pointintime as pit
 from paytide.operators.relational import join_many_to_one, nearest_earlier
 from paytide.operators.rules import ColumnRule, rule_condition
@@ -127,6 +127,27 @@ def test_canonical_names_follow_the_sequential_rule(spark):
     assert {r["name"]: r["canonical"] for r in got.collect()} == want
 
 
+def test_names_with_a_common_stem_meet_similar_ones_only(spark, monkeypatch):
+    names = [f"{i:09d} CUSTOMER" for i in range(0, 6000, 41)] + ["A", "AB", "ABCDEFGHIJ KLMNOPQRST UVWXYZABCD EFGH", "ABCDEFGHIJ KLMNOPQXST UVWXYZABCD EFH"]
+    df = spark.createDataFrame([(n, n) for n in names], "name string, t string")
+    want = {(a, b) for a in names for b in names if companies._indel_similarity(a, b) >= 90}
+    assert {(r["a"], r["b"]) for r in companies.similar_pairs(df, df, 90).collect()} == want
+    monkeypatch.setattr(companies, "name_similarity", lambda a, b: F.lit(100.0))  # leaves the candidates
+    stems = df.filter("name LIKE '0%'")
+    candidates = {(r["a"], r["b"]) for r in companies.similar_pairs(stems, stems, 90).collect()}
+    assert candidates == {(a, b) for a, b in want if a.startswith("0")}
+
+
+def test_first_row_per_id_moves_every_column_once(spark):
+    rows = [("a", 2, None, 1.0, "x"), ("a", 1, 5, 2.0, "y"), ("a", 1, 5, 2.0, "b"), (None, 3, 1, 1.0, "n"), (None, None, 1, 1.0, "m"), ("c", 1, 1, 1.0, None)]
+    df = spark.createDataFrame(rows, "ID string, TRADE_DATE int, VALUE_DATE int, AMOUNT double, T string")
+    got = silver.drop_id_duplicates(df)
+    assert got.columns == df.columns
+    assert {tuple(r) for r in got.collect()} == {("a", 1, 5, 2.0, "b"), (None, None, 1, 1.0, "m"), ("c", 1, 1, 1.0, None)}
+    moved = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "partial_" in line]
+    assert moved and all("min_by" not in line for line in moved)
+
+
 def test_nearest_earlier_across_blocks(spark):
     rng = random.Random(5)
     pts = [(i, rng.random(), rng.random()) for i in range(60)]
