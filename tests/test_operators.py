@@ -1,6 +1,7 @@
 """Small hand-written cases and properties."""
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -282,3 +283,39 @@ def test_passthrough_changes_a_stacked_forecast(spark):
     base = {"boosted": gbt_regressor}
     plain, more = (stacking(rows, ask, base, p, min_rows=5, max_folds=2, min_train=30, validation=7, step=7).orderBy("EVALUATION_CUTOFF").collect() for p in ((), ("X",)))
     assert len(plain) == len(more) == 2 and all(abs(a["PREDICTION"] - b["PREDICTION"]) > 1e-6 for a, b in zip(plain, more, strict=True))
+
+
+def test_company_names_by_guarded_patterns(spark):
+    from paytide.functions import text
+
+    words = "S A U L B V N R C SA SAU SL BV NV SARL SCA CB CO LTD LIMITED COLTD ACME X1 é".split()
+    texts = [f"{a} {b}{gap}{c}" for a in words for b in words for c in words[:12] for gap in (" ", ".", "")]
+    df = spark.createDataFrame([(t,) for t in texts], "d string")
+    plan = df.select(text.normalize_company("d").alias("c"))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
+
+    def plain(t):
+        name = re.sub(r"[^A-Z0-9]+", " ", t.upper().replace("É", "E")).strip()
+        for form in text.LEGAL_FORMS:
+            name = re.sub(form, " ", name)
+        return re.sub(r"\s+", " ", name).strip() or None
+
+    got = df.select("d", text.normalize_company("d").alias("c")).collect()
+    assert [r for r in got if r["c"] != plain(r["d"])] == []
+
+
+def test_series_rows_hold_what_their_summaries_read(spark):
+    from types import SimpleNamespace
+
+    from paytide.plans import q_series
+    from paytide.sources.layers import Layers
+
+    rows = [(str(i), D(2024, 1, 1 + i), 10.0, 10.0, "ACME" if i else "NO_COMPANY", "under_100k", "row_0_1000", "long text") for i in range(4)]
+    prepared = spark.createDataFrame(rows, "ID string, VALUE_DATE date, amount double, abs_amount double, company_clean string, amount_regime string, row_amount_bin string, DESCRIPTION string")
+    own = spark.createDataFrame([("under_100k", "ACME", True, "sparse_tail", "freq_3_5", "total_lt_1k")],
+                                "amount_regime string, company_clean string, is_own_series boolean, behavior_label string, freq_bin string, value_bin string")
+    t = SimpleNamespace(layers=Layers(spark, "series-layers"), prepared=prepared, own_series=own)
+    got = q_series._series_rows(t)
+    assert "DESCRIPTION" not in got.columns
+    assert {(r["ID"], r["series_id"]) for r in got.collect()} == {("0", "under_100k__NO_COMPANY__row_0_1000")} | {(str(i), "under_100k__OWN__ACME") for i in (1, 2, 3)}
+    t.layers.clear()
