@@ -178,7 +178,7 @@ def _(t):
 
 
 def _profiles(t):
-    return P.company_profile(t.tx, *t.tx_span).persist()
+    return P.company_profile(t.tx, *t.tx_span, one_row_per_id=True).persist()
 
 
 def _clustered(t):
@@ -221,7 +221,7 @@ def _(t):
 
 @query("cluster_regimes")
 def _(t):
-    units = P.company_profile(t.banded, *t.tx_span, keys=("company_key", "amount_band"), absolute=True).persist()
+    units = P.company_profile(t.banded, *t.tx_span, keys=("company_key", "amount_band"), absolute=True, one_row_per_id=True).persist()
     return C.cluster_regimes(units).select("company_key", "amount_band", "auto_series_id", "cluster_kind")
 
 

@@ -88,3 +88,50 @@ def test_layers_of_rows_hold_what_is_read(spark, sf_dir):
     marked, _ = q_series._remaining(t)
     assert not {"DESCRIPTION", "day_name", "ENTITY_SHORTNAME"} & set(marked.columns)
     t.layers.clear()
+
+
+@pytest.mark.parametrize("unique", [True, False])
+@pytest.mark.parametrize("absolute", [True, False])
+def test_company_profile_equals_plain_python(spark, small_batches, unique, absolute):
+    rng = random.Random(7)
+    low, high = dt.date(2000, 1, 1), dt.date(2000, 3, 31)
+    rows = [("one", low, high, 5.0, "x"), ("none", None, low, 0.0, None), ("gone", low, high, 4.0, "y"), ("gone", low, high, -4.0, "z"), ("empty", low, low, None, "e")]
+    for key in ("a", "b", None):
+        for i in range(90):
+            day = low + dt.timedelta(days=rng.randrange(91))
+            rows.append((key, rng.choice([None, day - dt.timedelta(days=rng.randrange(4))]), day, rng.choice([0.0, round(rng.uniform(-900, 900), 2)]), f"{key}{i if unique else i % 40}"))
+    df = spark.createDataFrame(rows, "k string, TRADE_DATE date, VALUE_DATE date, amount double, ID string").withColumn("company_found", F.col("k").isNotNull())
+    profile = C.company_profile(df, F.lit(low), F.lit(high), ["k"], absolute, unique)
+    plan = profile._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "collect_list(" not in plan and "percentile(" not in plan  # no buffer of values per key
+    got = {r["k"]: r.asDict() for r in profile.collect()}
+    assert set(got) == {r[0] for r in rows}
+    near = lambda a, b: (a is None) == (b is None) and (a is None or math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-12))
+    calendar = [low + dt.timedelta(days=i) for i in range(91)]
+    for key, r in got.items():
+        mine = [x for x in rows if x[0] == key]
+        x = [math.fsum(v[3] or 0.0 for v in mine if v[2] == d) for d in calendar]
+        days = [i for i, v in enumerate(x) if v != 0]
+        size = [abs(v) for v in x]
+        v = [abs(x[i]) if absolute else x[i] for i in days]
+        gaps = [b - a for a, b in zip(days, days[1:])]
+        leads = [(e - s).days for _, s, e, _, _ in mine if s]
+        runs = lambda on: max([len(p) for p in "".join("1" if (i in days) == on else " " for i in range(91)).split()] or [0])
+        half = [sum(t) for t in (x[7:], x[:-7])]
+        sd = [math.sqrt(max(sum(u * u for u in t) / 84 - (s / 84) ** 2, 0)) for t, s in zip((x[7:], x[:-7]), half)]
+        stem = "active_abs_daily" if absolute else "active_daily"
+        total_of = size if absolute else x
+        want = {
+            "row_count": len({m[4] for m in mine} - {None}), "company_found": key is not None, "active_days": len(days), "calendar_days": 91, "total_amount": math.fsum(x), "total_abs_amount": sum(size),
+            f"median_{stem}_amount": statistics.median(v) if v else 0.0, f"max_{stem}_amount": max(v) if v else 0.0, "longest_active_run": runs(True), "longest_zero_run": runs(False),
+            "top3_day_abs_share": sum(sorted(size)[-3:]) / sum(size) if days else 0.0, "median_gap_days": statistics.median(gaps) if gaps else None,
+            "cv_gap_days": statistics.stdev(gaps) / statistics.mean(gaps) if len(gaps) > 1 else None, "mean_abs_daily_diff": sum(abs(b - a) for a, b in zip(x, x[1:])) / 90,
+            "weekend_active_share": sum(calendar[i].weekday() >= 5 for i in days) / len(days) if days else 0.0,
+            "month_end_active_share": sum((calendar[i] + dt.timedelta(days=5)).month != calendar[i].month for i in days) / len(days) if days else 0.0,
+            "rows_per_active_day_max": float(max([len({m[4] for m in mine if m[2] == calendar[i]} - {None}) for i in days] or [0])),
+            "lead_days_mean": statistics.mean(leads) if leads else None, "lead_days_median": float(statistics.median(leads)) if leads else None,
+            "known_same_day_share": sum(t == 0 for t in leads) / len(leads) if leads else None,
+            "autocorr_lag_7": (sum(a * b for a, b in zip(x[7:], x[:-7])) / 84 - half[0] * half[1] / 84**2) / (sd[0] * sd[1]) if min(sd) > 1e-9 else None,
+            "recent_30_amount_share": sum(total_of[-30:]) / sum(total_of) if days else 0.0,
+        }
+        assert {c: (r[c], want[c]) for c in want if not near(r[c], want[c])} == {}, key
