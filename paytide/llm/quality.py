@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BLANKS, let, upto, words, written
+from .common import BLANKS, let, removed, upto, words, written
 
 #: The classes of characters counted in words.
 CLASSES = {
@@ -116,10 +116,12 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataF
     top = lower.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("r") <= COMMON)
     top = top.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("r", "word", "n"))).alias("top"))
     common = F.aggregate("top.n", F.lit(0).cast("long"), lambda a, n: a + n)
-    return written(top.join(sums, "lang").select(
+    refs = written(top.join(sums, "lang").select(
         "lang", "class_ref", F.col("top.word").alias("word_ref"),
         F.concat(F.transform("top.n", lambda n: n / F.col("all")), F.array(F.lit(1.0) - common / F.col("all"))).alias("word_shares"),
     ), "quality-references")
+    removed(counts)
+    return refs
 
 
 def js_distance(p: Column, q: Column) -> Column:
