@@ -77,3 +77,25 @@ def test_most_blocks_are_out_of_reach(spark):
     met.persist()
     work = lambda p: p.join(sizes, "_hb").join(groups, "_g").selectExpr("sum(h * q) AS w").first()["w"]
     assert work(met) < work(pairs) / 3
+
+
+def test_shuffle_files_go_with_a_written_layer(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    seen = []
+
+    def build():
+        seen.append(spark.conf.get(key))
+        return spark.range(9).groupBy((F.col("id") % 3).alias("k")).count()
+
+    layers = Layers(spark)
+    assert layers.get("a", build).count() == 3 and seen == ["true"] and spark.conf.get(key) == "false"
+    layers.drop("a")
+    assert layers.get("a", build).count() == 3 and len(seen) == 2
+    layers.clear()
+
+
+def test_an_extract_keeps_no_layer_that_only_it_reads(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    assert t.tx.count() and t.regime_profile.count()
+    assert set(t.layers._schemas) == {"tx", "prepared", "regime_profile"} and "DESCRIPTION" not in t.tx.columns
+    t.layers.clear()
