@@ -99,3 +99,21 @@ def test_an_extract_keeps_no_layer_that_only_it_reads(spark, sf_dir):
     assert t.tx.count() and t.regime_profile.count()
     assert set(t.layers._schemas) == {"tx", "prepared", "regime_profile"} and "DESCRIPTION" not in t.tx.columns
     t.layers.clear()
+
+
+def test_series_outputs_are_whole(spark, tmp_path):
+    """Long rows hold the amount, its size and the rows of a day, wide ones a column per series, and the rows are kept."""
+    from paytide.operators import series as R
+    from paytide.sources import layers as L
+
+    rows = spark.createDataFrame([("S1", "2000-01-01", 5.0), ("S1", "2000-01-01", -7.0), ("S2", "2000-01-03", 4.0)], "series_id string, d string, amount double")
+    rows = rows.select("series_id", F.col("d").cast("date").alias("VALUE_DATE"), "amount", F.abs("amount").alias("abs_amount"))
+    low, high = F.lit("2000-01-01").cast("date"), F.lit("2000-01-03").cast("date")
+    wide = R.daily_series_wide(rows, "series_id", R.series_names(rows), low, high)
+    L.write_series_outputs(str(tmp_path), R.daily_series_long(rows, low, high), wide, rows, extra=rows.groupBy("series_id").count())
+    long = spark.read.parquet(f"{tmp_path}/series_daily_long").orderBy("series_id", "VALUE_DATE")
+    assert [tuple(r) for r in long.select("series_id", "amount", "abs_amount", "n_rows").collect()] == [
+        ("S1", -2.0, 12.0, 2), ("S1", 0.0, 0.0, 0), ("S1", 0.0, 0.0, 0), ("S2", 0.0, 0.0, 0), ("S2", 0.0, 0.0, 0), ("S2", 4.0, 4.0, 1)]
+    read = spark.read.option("header", True)
+    assert read.csv(f"{tmp_path}/series_daily_wide").orderBy("VALUE_DATE").select("S1", "S2").collect()[0][:] == ("-2.0", "0.0")
+    assert spark.read.parquet(f"{tmp_path}/assigned_transactions").count() == 3 and read.csv(f"{tmp_path}/extra").count() == 2
